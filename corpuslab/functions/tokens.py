@@ -52,8 +52,6 @@ def stop_words(library: Sequence[str] | None = None) -> list[str]:
     return sorted({*base, *K.DOMAIN_STOP_WORDS, *K.LETTER_STOP_WORDS})
 
 
-def content_words(c: Column, stop: Sequence[str]) -> Column:
-    """Plain words that are neither stop words nor numbers."""
-    return F.filter(
-        words(c), lambda t: ~t.isin(list(stop)) & ~t.rlike(r"^\p{N}+$")
-    )
+def is_content_word(word: Column, stop: Sequence[str]) -> Column:
+    """Neither a stop word nor a number."""
+    return ~word.isin(list(stop)) & ~word.rlike(r"^\p{N}+$")

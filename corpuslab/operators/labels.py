@@ -8,7 +8,7 @@ from corpuslab import constants as K
 from corpuslab.functions.text import clean_id, normalize_text
 from corpuslab.operators.dedupe import non_empty_ids, union_all
 from corpuslab.operators.joins import flag_members
-from corpuslab.operators.sampling import exact_split, first_rows
+from corpuslab.operators.sampling import exact_split, mark_first
 
 POSITIVE_IDS = ("i_citation_id", "ref_id")
 
@@ -136,12 +136,13 @@ def balanced_examples(
     joined = figures.join(marks, "id", "right").select(
         "id", F.col("PY").alias("year"), "text", F.col("Binary").alias("label"), "fig_id", "Time_F"
     )
-    positive = joined.where((F.col("Time_F") != "0") & (F.col("Time_F") == F.col("fig_id"))).drop("Time_F")
-    negative = joined.where((F.col("Time_F") == "0") & (F.col("label") == 0)).drop("Time_F")
-    cut = first_rows(negative, positive.count(), key, seed)
+    positive = (F.col("Time_F") != "0") & (F.col("Time_F") == F.col("fig_id"))
+    negative = (F.col("Time_F") == "0") & (F.col("label") == 0)
+    wanted = joined.where(positive).count()
+    marked = mark_first(joined, lambda n: wanted, key, seed, "_kept", among=negative)
     return (
-        positive.unionByName(cut)
-        .where(F.col("text").isNotNull())
+        marked.where((positive | F.col("_kept")) & F.col("text").isNotNull())
+        .drop("Time_F", "_kept")
         .withColumn("text", normalize_text(F.col("text")))
     )
 

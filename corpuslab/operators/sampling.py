@@ -64,28 +64,32 @@ def find_cut(hashes: DataFrame, rows_wanted) -> Cut:
 
 
 def mark_first(
-    df: DataFrame, rows_wanted, key: Sequence[str] | None = None, seed: int = 42, flag: str = "taken"
+    df: DataFrame, rows_wanted, key: Sequence[str] | None = None, seed: int = 42,
+    flag: str = "taken", among: Column | None = None,
 ) -> DataFrame:
     """Add a boolean: is the row among the first k in hash order?
 
-    ``key`` should identify a row. Where several rows share the key at the cut,
-    they are ordered by all their columns; full copies are interchangeable and
-    are counted and re-emitted, never ranked one by one.
+    Rows outside ``among`` are neither counted nor flagged. ``key`` should identify
+    a row. Where several rows share the key at the cut, they are ordered by all
+    their columns; full copies are interchangeable and are counted and re-emitted,
+    never ranked one by one.
     """
+    among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
     order = hash_order(key or df.columns, seed)
-    cut = find_cut(df.select(order.alias("h")), rows_wanted)
+    cut = find_cut(df.where(among).select(order.alias("h")), rows_wanted)
     width = len(cut.prefix)
     if not width:
         return df.withColumn(flag, F.lit(False))
-    inside = F.substring(order, 1, width) <= cut.prefix
+    inside = among & (F.substring(order, 1, width) <= cut.prefix)
     if cut.tie is None:
         return df.withColumn(flag, inside)
-    tied = df.where(order == cut.tie)
+    at_tie = among & (order == cut.tie)
+    tied = df.where(at_tie)
     if key and set(key) != set(df.columns):
         resolved = mark_first(tied, lambda _: cut.from_tie, None, seed, flag)
     else:
         resolved = _split_copies(tied, cut.from_tie, flag)
-    return df.where(order != cut.tie).withColumn(flag, inside).unionByName(resolved)
+    return df.where(~at_tie).withColumn(flag, inside).unionByName(resolved)
 
 
 def _split_copies(copies: DataFrame, wanted: int, flag: str) -> DataFrame:

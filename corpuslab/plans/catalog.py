@@ -1,11 +1,15 @@
 """Registered queries over the driver tables."""
+import io
+import zipfile
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from corpuslab import constants as K
 from corpuslab import schemas
@@ -20,7 +24,7 @@ from corpuslab.plans import scoring, training
 from corpuslab.plans.query_inputs import KEYWORDS, LIBRARY_STOP_WORDS
 from corpuslab.sources import documents as docs
 from corpuslab.sources import tables
-from corpuslab.storage import checkpoint, scratch_path
+from corpuslab.storage import checkpoint, scratch_path, spread
 from corpuslab.streaming import pages as page_stream
 
 STOP_WORDS = tk.stop_words(LIBRARY_STOP_WORDS)
@@ -38,6 +42,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
+def div(column: str, by: int):
+    return F.expr(f"{column} div {by}")
+
+
 def col_str(name: str):
     return F.col(name).cast("string")
 
@@ -53,19 +65,19 @@ def short_is_null(c: str = "text"):
 @query
 def clean_ids(spark, sf):
     raw = F.concat_ws("-/", "source", "text")
-    return table(spark, sf, "documents").select("doc_id", tx.clean_id(raw).alias("clean_id"))
+    return texts(spark, sf).select("doc_id", tx.clean_id(raw).alias("clean_id"))
 
 
 @query
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", tx.normalize_text(short_is_null()).alias("normalized")
     )
 
 
 @query
 def keyword_filter(spark, sf):
-    return table(spark, sf, "documents").where(tx.mentions_any(F.col("text"), KEYWORDS)).select(
+    return texts(spark, sf).where(tx.mentions_any(F.col("text"), KEYWORDS)).select(
         "doc_id", "lang", "source"
     )
 
@@ -96,7 +108,7 @@ def id_from_path(spark, sf):
 @query
 def tokens(spark, sf):
     t = tk.words(tx.normalize_text(F.col("text")))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, "|").alias("words")
     )
 
@@ -104,7 +116,7 @@ def tokens(spark, sf):
 @query
 def ngrams(spark, sf):
     g = tk.ngrams(tk.feature_words(F.col("text")), 3)
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.size(g).cast("long").alias("n"), F.array_join(g, "|").alias("grams")
     )
 
@@ -112,7 +124,7 @@ def ngrams(spark, sf):
 @query
 def truncate_tokens(spark, sf):
     t = tk.truncate(tk.words(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(t, " ").alias("head"))
+    return texts(spark, sf).select("doc_id", F.array_join(t, " ").alias("head"))
 
 
 # --- duplicates, unions, audits ---------------------------------------------------
@@ -130,7 +142,7 @@ def dedup_none(spark, sf):
 
 @query
 def latest_version(spark, sf):
-    key = F.floor(F.col("doc_id") / 4).cast("string")
+    key = div("doc_id", 4).cast("string")
     name = F.concat(
         key, F.lit("v"), (F.col("n_chars") % 3 + 1).cast("string"), F.lit("."), col_str("doc_id"),
         F.lit(".pdf"),
@@ -146,12 +158,12 @@ def latest_version(spark, sf):
 @query
 def corpus_union(spark, sf):
     names = ("documents", "conversations", "benchmark")
-    return corpora.text_corpus(*[table(spark, sf, n).select("text") for n in names])
+    return corpora.text_corpus(*[spread(table(spark, sf, n), "text") for n in names])
 
 
 @query
 def corpus_build(spark, sf):
-    corpus = table(spark, sf, "documents").select("text", "lang")
+    corpus = texts(spark, sf).select("text", "lang")
     return corpora.clean_corpus(corpus, keywords=KEYWORDS).select(
         tx.normalize_text(F.col("text")).alias("text"), "lang"
     )
@@ -160,7 +172,7 @@ def corpus_build(spark, sf):
 @query
 def stage_audit(spark, sf):
     text = F.col("text")
-    corpus = table(spark, sf, "documents").select("text", "lang")
+    corpus = texts(spark, sf).select("text", "lang")
     return rollup.stage_audit(
         corpus, "text", tx.downloaded_flag(text) == 1, tx.long_enough(text), tx.mentions_any(text, KEYWORDS)
     )
@@ -179,12 +191,57 @@ def csv_roundtrip(spark, sf):
     return tables.read_csv(spark, f"{path}/*.csv", schemas.CORPUS)
 
 
+def _latin1_files(spark, sf):
+    path = F.concat(F.lit("texts/"), "source", F.lit("/PMC"), col_str("doc_id"), F.lit(".txt"))
+    text = F.regexp_replace("text", r"[^\x00-\xff]", "?")
+    return texts(spark, sf).select(
+        "doc_id", path.alias("path"), F.encode(text, "ISO-8859-1").alias("content")
+    )
+
+
+@query
+def latin1_ingest(spark, sf):
+    return docs.latin1_texts(_latin1_files(spark, sf), KEYWORDS)
+
+
+@F.pandas_udf(BinaryType())
+def _zipped(members: pd.Series) -> pd.Series:
+    """Fixture helper: one zip archive from a list of (path, content)."""
+
+    def pack(rows) -> bytes:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as archive:
+            for row in rows:
+                archive.writestr(row["path"], bytes(row["content"]))
+        return buffer.getvalue()
+
+    return members.map(pack)
+
+
+@query
+def archive_ingest(spark, sf):
+    """Texts packed fifty to an archive, unpacked and extracted again."""
+    files = _latin1_files(spark, sf)
+    archives = files.groupBy(div("doc_id", 50).alias("n")).agg(
+        F.collect_list(F.struct("path", "content")).alias("members")
+    )
+    zips = archives.select(
+        F.concat(F.lit("archives/"), col_str("n"), F.lit(".zip")).alias("path"),
+        _zipped("members").alias("content"),
+    )
+    members = docs.expand_archives(zips)
+    extracted = docs.extract_texts(
+        members.select(F.col("member").alias("path"), "content"), lambda b: b.decode("latin1")
+    )
+    return extracted.select(tx.id_from_text_file(F.col("path")).alias("id"), "text", "error")
+
+
 # --- ingest --------------------------------------------------------------------------
 
 
 def _pdf_files(spark, sf):
     path = F.concat_ws("/", F.lit("corpus"), "source", "lang", F.concat(col_str("doc_id"), F.lit(".pdf")))
-    key = F.floor(F.col("doc_id") / 2).cast("string")
+    key = div("doc_id", 2).cast("string")
     return table(spark, sf, "documents").select(path.alias("path"), key.alias("id"), "text", "doc_id")
 
 
@@ -210,14 +267,14 @@ def orphans(spark, sf):
 @query
 def ingest_versioned(spark, sf):
     name = F.concat(
-        F.lit("preprints/"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit("v"),
+        F.lit("preprints/"), div("doc_id", 3).cast("string"), F.lit("v"),
         (F.col("doc_id") % 3 + 1).cast("string"), F.lit(".full.pdf"),
     )
-    files = table(spark, sf, "documents").select(name.alias("path"), "text").select(
+    files = texts(spark, sf).select(name.alias("path"), "text").select(
         tx.versioned_id(F.col("path")).alias("id"), tx.version_from_path(F.col("path")).alias("version"), "text"
     )
     marks = table(spark, sf, "labels")
-    key = F.concat(F.lit("10.1101/"), F.floor(F.col("doc_id") / 3).cast("string"))
+    key = F.concat(F.lit("10.1101/"), div("doc_id", 3).cast("string"))
     version = (F.col("doc_id") % 3 + 1).cast("int").alias("Version")
     rows = marks.select(key.alias("ID"), version, F.lit("first").alias("Title"))
     ambiguous = marks.where("toxic = 1").select(key.alias("ID"), version, F.lit("second").alias("Title"))
@@ -228,7 +285,7 @@ def ingest_versioned(spark, sf):
 
 def _listed(events: DataFrame, doi) -> DataFrame:
     return events.select(
-        F.floor(F.col("event_id") / 100).alias("page"),
+        div("event_id", 100).alias("page"),
         "event_id",
         F.struct(
             F.concat(F.lit("10.1101/"), doi).alias("doi"),
@@ -321,7 +378,7 @@ def label_refresh(spark, sf):
 
 
 def _texts(spark, sf):
-    corpus = table(spark, sf, "documents")
+    corpus = texts(spark, sf)
     own = corpus.where("lang <> 'en'").select(F.concat(F.lit("Doc-"), col_str("doc_id")).alias("id"), "text")
     crawled = corpus.where("lang = 'en'").select(F.concat(F.lit("doc "), col_str("doc_id")).alias("id"), "text")
     return own, crawled
@@ -339,7 +396,7 @@ def labeled_examples(spark, sf):
 @query
 def balanced_examples(spark, sf):
     """Figures of long texts only, so that some labels have no figure."""
-    corpus = table(spark, sf, "documents").where(tx.long_enough(F.col("text")))
+    corpus = texts(spark, sf).where(tx.long_enough(F.col("text")))
     figure = (F.col("doc_id") % 5).cast("string").alias("fig_id")
     own = corpus.where("lang <> 'en'").select(
         F.concat(F.lit("Doc-"), col_str("doc_id")).alias("paper_id"), "text", figure
@@ -390,7 +447,7 @@ def positional_join(spark, sf):
 
 def _with_mentions(spark, sf):
     mention = F.concat(F.lit("Fig. "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(" "))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", "source", F.replace(F.col("text"), F.lit("the "), mention).alias("text")
     )
 
@@ -410,7 +467,7 @@ def figure_windows_narrow(spark, sf):
 
 def _labeled(spark, sf):
     marks = table(spark, sf, "labels").select("doc_id", "quality")
-    return table(spark, sf, "documents").select("doc_id", "text").join(marks, "doc_id")
+    return texts(spark, sf).select("doc_id", "text").join(marks, "doc_id")
 
 
 @query
@@ -431,7 +488,7 @@ def tfidf(spark, sf):
 
 @query
 def tfidf_corpus(spark, sf):
-    fitted = features.fit_vocabulary(table(spark, sf, "documents"))
+    fitted = features.fit_vocabulary(texts(spark, sf))
     return _rounded(features.tfidf(_labeled(spark, sf), fitted, key="doc_id"))
 
 
@@ -510,7 +567,7 @@ def logits_to_pred(spark, sf):
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"
     )
 
@@ -570,7 +627,7 @@ def paper_share(spark, sf):
 
 @query
 def term_freq(spark, sf):
-    return stats.term_frequency(table(spark, sf, "documents"), stop=STOP_WORDS).select(
+    return stats.term_frequency(texts(spark, sf), stop=STOP_WORDS).select(
         "term", "n", F.round("weight", 6).alias("weight")
     )
 
@@ -601,7 +658,7 @@ def year_histogram(spark, sf):
 
 @query
 def rare_entities(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(tk.words(tx.plain_words(F.col("text")))).alias("word"))
+    words = texts(spark, sf).select(F.explode(tk.words(tx.plain_words(F.col("text")))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return stats.rare_entities(counted, 10)
 
@@ -653,7 +710,7 @@ QUERIES.update(
 def grid_search(spark, sf):
     """Candidates of one family with their hold-out F1."""
     train, _, _ = _examples(spark, sf)
-    search = training.grid_search("l1", train, [{"alpha": a} for a in K.L1_ALPHAS], holdout_rows=80)
+    search = training.grid_search("l1", train, [{"alpha": a} for a in (1e-4, 1e-3, 1e-2)], holdout_rows=80)
     rows = [(p["alpha"], f1, p == search.best.params) for p, f1 in search.tried]
     return spark.createDataFrame(rows, "alpha double, f1 double, is_best boolean")
 
@@ -682,7 +739,7 @@ def _common_words(spark, sf) -> list[str]:
 @query
 def doc_vectors(spark, sf):
     model = _word_model(spark, sf, spark.sparkContext.applicationId)
-    out = features.apply_doc_vectors(model, table(spark, sf, "documents").select("doc_id", "text"))
+    out = features.apply_doc_vectors(model, texts(spark, sf).select("doc_id", "text"))
     return out.select("doc_id", vector_to_array("features", "float32").alias("vector"))
 
 

@@ -19,4 +19,4 @@ def clean_corpus(
 
 def text_corpus(*tables: DataFrame) -> DataFrame:
     """All texts of several tables in model form, as one ``text`` column."""
-    return union_all(*tables).select(normalize_text(F.col("text")).alias("text"))
+    return union_all(*[t.select("text") for t in tables]).select(normalize_text(F.col("text")).alias("text"))

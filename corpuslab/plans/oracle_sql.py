@@ -204,6 +204,8 @@ def _listed(doi: str) -> str:
 
 _JOINED_TEXTS = f"""marks as (select 'doc ' || doc_id as id, * exclude (doc_id) from labels)"""
 
+_NOT_LATIN1 = r"'[^\x{00}-\x{ff}]'"
+
 ORACLES: dict[str, str] = {
     "clean_ids": f"select doc_id, {_plain("source || '-/' || text")} as clean_id from documents",
     "normalize_text": f"select doc_id, {_normal(_MAYBE)} as normalized from documents",
@@ -243,6 +245,11 @@ ORACLES: dict[str, str] = {
         union all select 'relevant', count(*) from d where {_HIT}""",
     "csv_roundtrip": """select doc_id::varchar as id, text, (length(text) > 100)::int as downloaded
         from documents""",
+    "latin1_ingest": f"""with f as (select 'PMC' || doc_id as id,
+          regexp_replace(text, {_NOT_LATIN1}, '?', 'g') as text from documents)
+        select id, text, 1 as downloaded from f where {_HIT}""",
+    "archive_ingest": f"""select 'PMC' || doc_id as id,
+        regexp_replace(text, {_NOT_LATIN1}, '?', 'g') as text, null::varchar as error from documents""",
     "ingest_exact": f"""with {_PDF_FILES}, {_PDF_META},
         f as (select id, min(path) as p from files where length(text) > 100 group by id)
         select '"' || files.id || '"' as id, text, (length(text) > 100)::int as downloaded, "Binary"

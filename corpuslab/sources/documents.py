@@ -17,7 +17,8 @@ MEMBERS_PER_BATCH = 64
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, content) of every file below ``path``."""
+    """(path, content) of every file below ``path``, such as "*.txt" or
+    "{*.zip,*.tar.gz}"."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -27,16 +28,11 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
-def latin1_texts(
-    spark: SparkSession, path: str, keywords: Sequence[str] = K.TIME_TREE_KEYWORDS
-) -> DataFrame:
-    """(id, text, downloaded) of the relevant .txt files, read as ISO-8859-1."""
-    files = read_files(spark, path, "*.txt")
-    text = F.decode("content", "ISO-8859-1")
-    # Text mode turns all line ends into \n.
-    texts = files.select(
-        id_from_text_file(F.col("path")).alias("id"), F.regexp_replace(text, "\r\n?", "\n").alias("text")
-    )
+def latin1_texts(files: DataFrame, keywords: Sequence[str] = K.TIME_TREE_KEYWORDS) -> DataFrame:
+    """(id, text, downloaded) of the relevant texts among (path, content), whose
+    bytes are ISO-8859-1. All line ends become \\n."""
+    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n?", "\n")
+    texts = files.select(id_from_text_file(F.col("path")).alias("id"), text.alias("text"))
     return texts.where(mentions_any(F.col("text"), keywords)).withColumn("downloaded", F.lit(1))
 
 
@@ -53,8 +49,8 @@ def _members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
                     yield info.name.split("/")[-1], archive.extractfile(info).read()
 
 
-def expand_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, content, error) for the .zip and .tar.gz files below path.
+def expand_archives(archives: DataFrame) -> DataFrame:
+    """(archive, member, content, error) from (path, content) of .zip and .tar.gz files.
 
     Zip members keep their path; tar members are flattened to the base name. A
     broken archive gives one row with its error. Members leave in small batches.
@@ -76,8 +72,9 @@ def expand_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    archives = read_files(spark, path, "{*.zip,*.tar.gz}")
-    return archives.mapInPandas(expand, "archive string, member string, content binary, error string")
+    return archives.select("path", "content").mapInPandas(
+        expand, "archive string, member string, content binary, error string"
+    )
 
 
 def extract_texts(files: DataFrame, extractor: Callable[[bytes], str]) -> DataFrame:

@@ -39,3 +39,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a small scan at least one task per core before heavy text work.
+
+    A file with few row groups is read by few tasks however many cores wait. A
+    scan that already has enough tasks, as any large one does, is left alone, so
+    no text is shuffled at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
