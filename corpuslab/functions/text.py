@@ -1,5 +1,7 @@
 """Text clean-up, identifiers and predicates as column expressions."""
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,10 +42,13 @@ def quoted(c: Column) -> Column:
 def mentions_any(c: Column, keywords: Sequence[str] = K.TIME_TREE_KEYWORDS) -> Column:
     """True if the lowercased text, with '-' as space, contains any keyword."""
     text = F.lower(F.replace(c, F.lit("-"), F.lit(" ")))
-    hit = F.lit(False)
-    for word in keywords:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+
+    def any_in(t: Column) -> Column:
+        return reduce(operator.or_, [F.contains(t, F.lit(word)) for word in keywords])
+
+    # The one-element array binds the prepared text, so it is built once per row
+    # and not once per keyword.
+    return F.exists(F.array(text), any_in)
 
 
 def long_enough(c: Column, more_than: int = K.MIN_TEXT_LENGTH) -> Column:

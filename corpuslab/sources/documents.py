@@ -13,7 +13,8 @@ from corpuslab import schemas
 from corpuslab.functions.text import id_from_text_file, mentions_any, quoted
 from corpuslab.operators.dedupe import first_per_key
 
-MEMBERS_PER_BATCH = 64
+ROWS_PER_BATCH = 256
+PAYLOAD_PER_BATCH = 8 << 20
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -49,6 +50,19 @@ def _members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
                     yield info.name.split("/")[-1], archive.extractfile(info).read()
 
 
+def _frames(rows: Iterator[tuple], columns: list[str], payload: int) -> Iterator[pd.DataFrame]:
+    """Frames of limited row count and limited size of the payload column."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[payload] or "")
+        if len(held) >= ROWS_PER_BATCH or size >= PAYLOAD_PER_BATCH:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def expand_archives(archives: DataFrame) -> DataFrame:
     """(archive, member, content, error) from (path, content) of .zip and .tar.gz files.
 
@@ -56,21 +70,17 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     broken archive gives one row with its error. Members leave in small batches.
     """
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "member", "content", "error"]
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                rows = []
                 try:
                     for member, data in _members(name, content):
-                        rows.append((name, member, data, None))
-                        if len(rows) == MEMBERS_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
+                        yield name, member, data, None
                 except Exception as problem:  # keep going with the other archives
-                    rows.append((name, None, None, repr(problem)))
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield name, None, None, repr(problem)
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(members(batches), ["archive", "member", "content", "error"], payload=2)
 
     return archives.select("path", "content").mapInPandas(
         expand, "archive string, member string, content binary, error string"
@@ -81,14 +91,16 @@ def extract_texts(files: DataFrame, extractor: Callable[[bytes], str]) -> DataFr
     """(path, text, error) from (path, content); ``extractor`` is any function from
     file bytes to text. A failing file keeps its row, with the error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 try:
-                    row = (name, extractor(content), None)
+                    yield name, extractor(content), None
                 except Exception as problem:
-                    row = (name, None, repr(problem))
-                yield pd.DataFrame([row], columns=["path", "text", "error"])
+                    yield name, None, repr(problem)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(texts(batches), ["path", "text", "error"], payload=1)
 
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
