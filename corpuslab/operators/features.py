@@ -1,9 +1,9 @@
 """Vocabulary, TF-IDF and document vectors."""
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
-    PCA, CountVectorizer, ElementwiseProduct, IDF, Normalizer, Word2Vec, Word2VecModel,
+    PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec, Word2VecModel,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -96,32 +96,37 @@ def tfidf(
 # --- vector form for the models ---------------------------------------------
 
 
-def with_tokens(df: DataFrame, text: str, longest: int, out: str = "tokens") -> DataFrame:
-    return df.withColumn(out, _grams(text, longest, None))
-
-
 def fit_tfidf_vectors(
     corpus: DataFrame, text: str = "text", longest: int = 2, out: str = "features",
     min_share: float = K.MIN_DOC_SHARE, max_share: float = K.MAX_DOC_SHARE,
 ) -> PipelineModel:
-    """Pipeline model from a token column to unit TF-IDF vectors.
+    """Pipeline model from a ``tokens`` column to unit TF-IDF vectors.
 
-    Fit on the training texts, or on a larger unlabelled corpus.
+    Fit on the training texts, or on a larger unlabelled corpus. The terms and
+    their weights come from ``fit_vocabulary``; the model holds them, as any MLlib
+    text model does, and their number is bounded by the minimum share.
     """
-    prepared = with_tokens(corpus, text, longest).select("tokens")
-    counter = CountVectorizer(
-        inputCol="tokens", outputCol="_tf", minDF=min_share, maxDF=max_share
-    ).fit(prepared)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(prepared)).idf
+    fitted = fit_vocabulary(corpus, text, longest, min_share, max_share)
+    rows = fitted.select("term", "idf").orderBy("term").collect()
+    if not rows:
+        raise ValueError("no term occurs in the wanted share of documents")
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in rows], inputCol="tokens", outputCol="_tf"
+    )
     scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_tf", outputCol="_raw"
+        scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_tf", outputCol="_raw"
     )
     unit = Normalizer(p=2.0, inputCol="_raw", outputCol=out)
     return PipelineModel([counter, scale, unit])
 
 
-def apply_tfidf_vectors(model: PipelineModel, df: DataFrame, text: str = "text", longest: int = 2) -> DataFrame:
-    return model.transform(with_tokens(df, text, longest)).drop("tokens", "_tf", "_raw")
+def apply_tfidf_vectors(
+    model: PipelineModel, df: DataFrame, text: str = "text", longest: int = 2
+) -> DataFrame:
+    """Add the vectors. ``longest`` may be smaller than at the fit."""
+    known = sorted({w for term in model.stages[0].vocabulary for w in term.split(" ")})
+    grams = _grams(text, longest, known if len(known) <= PRUNE_LIMIT else None)
+    return model.transform(df.withColumn("tokens", grams)).drop("tokens", "_tf", "_raw")
 
 
 def fit_doc_vectors(

@@ -321,7 +321,7 @@ def stream_ingest(spark, sf):
         page_stream.ingest_page_stream(
             spark, f"{root}/pages", f"{root}/table", f"{root}/checkpoint", multiline=False
         )
-    return spark.read.parquet(f"{root}/table")
+    return spark.read.parquet(f"{root}/table").drop("batch")
 
 
 # --- labels -----------------------------------------------------------------------------
@@ -430,6 +430,15 @@ def holdout(spark, sf):
     return sampling.holdout(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
+@query
+def classifier_splits(spark, sf):
+    split = checkpoint(sampling.exact_split(_labeled(spark, sf), ["doc_id"]))
+    rows = split.withColumnsRenamed({"quality": "label", "split": "part"})
+    return training.classifier_splits(
+        rows.where("part = 'train'"), rows.where("part = 'test'"), 100, ["doc_id"], seed=7
+    )
+
+
 @query
 def sample_fraction(spark, sf):
     return sampling.sample_share(_keys(spark, sf), ["doc_id"])
@@ -632,6 +641,14 @@ def term_freq(spark, sf):
     )
 
 
+@query
+def term_freq_positive(spark, sf):
+    positive = _labeled(spark, sf).where("quality = 1")
+    return stats.term_frequency(positive, stop=STOP_WORDS).select(
+        "term", "n", F.round("weight", 6).alias("weight")
+    )
+
+
 def _category_terms(spark, sf):
     return stats.category_terms(_labeled(spark, sf), 20, label="quality", stop=STOP_WORDS)
 

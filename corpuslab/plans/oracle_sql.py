@@ -127,6 +127,13 @@ def _content(c: str) -> str:
     )
 
 
+def _cloud(rows: str) -> str:
+    return f"""t as (select unnest({_content('text')}) as term from {rows}),
+        c as (select term, count(*) as n from t group by term),
+        top as (select * from c order by n desc, term limit {K.CLOUD_TERMS})
+        select term, n, round(n / (max(n) over ())::double, 6) as weight from top"""
+
+
 def _category_terms() -> str:
     return f"""{_LABELED},
       terms as (select quality, unnest({_content('text')}) as term from labeled),
@@ -296,6 +303,13 @@ ORACLES: dict[str, str] = {
         floor(0.2::double * count(*) over ()) then 'test' else 'train' end as split from documents""",
     "holdout": f"""select o_orderkey, case when {_HASH_RANK.format(seed=42, key='o_orderkey')} <= 1000
         then 'cv' else 'train' end as split from orders""",
+    "classifier_splits": f"""with {_LABELED},
+        e as (select *, {_HASH_RANK.format(seed=42, key='doc_id')} <=
+          floor(0.2::double * count(*) over ()) as is_test from labeled),
+        r as (select *, {_HASH_RANK.replace('(order', '(partition by is_test order').format(seed=7, key='doc_id')}
+          as rn from e)
+        select text, quality as label, case when is_test then 'test' when rn <= 100 then 'cv'
+          else 'train' end as split from r""",
     "sample_fraction": f"""select doc_id, lang from documents
         qualify {_HASH_RANK.format(seed=42, key='doc_id')} <= round_even(0.01 * count(*) over (), 0)""",
     "positional_join": """with a as (select doc_id, n_chars, row_number() over (order by doc_id) - 1 as row_index
@@ -355,10 +369,8 @@ ORACLES: dict[str, str] = {
     "paper_share": f"""with {_scored_windows()}
         select source, round(avg((prob_y > 0.5 or any_fig or any_take)::int), 6) as share, count(*) as n
         from papers join texts on paper_id = doc_id group by source""",
-    "term_freq": f"""with t as (select unnest({_content('text')}) as term from documents),
-        c as (select term, count(*) as n from t group by term),
-        top as (select * from c order by n desc, term limit {K.CLOUD_TERMS})
-        select term, n, round(n / (max(n) over ())::double, 6) as weight from top""",
+    "term_freq": f"with {_cloud('documents')}",
+    "term_freq_positive": f"with {_LABELED}, {_cloud('labeled where quality = 1')}",
     "category_terms": f"with {_category_terms()} select term, n_pos, n_neg from cat",
     "term_scalers": f"""with {_category_terms()},
         r as (select term, n_pos, n_neg, {_ranks('n_pos')}, {_ranks('n_neg')} from cat)

@@ -93,6 +93,15 @@ def evaluate(
     return out
 
 
+def classifier_splits(
+    train: DataFrame, test: DataFrame, holdout_rows: int = K.HOLDOUT_ROWS, key: list[str] | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """(text, label, split): 'cv' is cut from the training rows, which lose it."""
+    cut = holdout(train, key, holdout_rows, seed).select("text", "label", "split")
+    return cut.unionByName(test.select("text", "label", F.lit("test").alias("split")))
+
+
 # --- feature kinds x tables ---------------------------------------------------
 
 

@@ -1,15 +1,19 @@
 """Incremental ingest of saved API pages."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab import schemas
+from corpuslab.operators.dedupe import first_per_key
 from corpuslab.sources.documents import preprint_metadata
 
+SALTS = 32
+
 
 def read_page_stream(
     spark: SparkSession, path: str, files_per_trigger: int = 1000, multiline: bool = True
 ) -> DataFrame:
-    """Publications of the page files that arrive below ``path``.
+    """Publications of the page files that arrive below ``path``, with their file.
 
     One page per file, or one per line without ``multiline``.
     """
@@ -19,21 +23,49 @@ def read_page_stream(
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(path)
     )
-    return pages.select(F.explode("collection").alias("p")).select("p.*")
+    files = pages.select(F.col("_metadata.file_path").alias("page"), "collection")
+    return files.select("page", F.posexplode("collection").alias("pos", "p")).select("page", "pos", "p.*")
 
 
-def new_publications(listed: DataFrame, memory: str | None = None) -> DataFrame:
-    """One row per DOI over the life of the stream.
+def recent_publications(listed: DataFrame, memory: str) -> DataFrame:
+    """One row per DOI, remembered for ``memory`` of publication date.
 
-    By default every DOI is remembered, in keyed state spread over the cluster, so
-    nothing is lost however late it comes. ``memory`` (such as '7 days' of
-    publication date) bounds the state; rows older than that are then dropped as
-    late, so use it only on pages that arrive in date order.
+    State is bounded, but rows older than that are dropped as late: only for pages
+    that arrive in date order. The first pass, per DOI and group of files, keeps a
+    DOI that is listed everywhere from meeting in one task.
     """
-    if memory is None:
-        return listed.dropDuplicates(["doi"])
-    dated = listed.withColumn("_date", F.to_timestamp("date"))
-    return dated.withWatermark("_date", memory).dropDuplicatesWithinWatermark(["doi"]).drop("_date")
+    salted = listed.withColumns(
+        {"_date": F.to_timestamp("date"), "_salt": F.pmod(F.xxhash64("page"), F.lit(SALTS))}
+    )
+    return (
+        salted.withWatermark("_date", memory)
+        .dropDuplicatesWithinWatermark(["doi", "_salt"])
+        .dropDuplicatesWithinWatermark(["doi"])
+        .drop("_date", "_salt")
+    )
+
+
+def _append_new(table_path: str):
+    """Writer of one micro-batch: DOIs that no earlier batch has written.
+
+    Every batch owns a folder and overwrites it, so a repeated batch leaves the
+    table as it was.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = preprint_metadata(first_per_key(batch, ["doi"], [F.col("page"), F.col("pos")]))
+        try:
+            earlier = spark.read.parquet(table_path).where(F.col("batch") < batch_id)
+            rows = rows.join(earlier.select("ID"), "ID", "left_anti")
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+        rows.select(*schemas.PREPRINT_METADATA.fieldNames()).write.mode("overwrite").parquet(
+            f"{table_path}/batch={batch_id}"
+        )
+
+    return write
 
 
 def ingest_page_stream(
@@ -42,15 +74,15 @@ def ingest_page_stream(
 ) -> None:
     """Process what has arrived, append new metadata rows to Parquet, then stop.
 
-    Run again with the same checkpoint to pick up where it left off.
+    Run again with the same checkpoint to pick up where it left off. Without
+    ``memory`` a DOI is looked up in the table itself: nothing is lost however late
+    it comes, there is no growing state, and a hot DOI is cut down in the map tasks.
     """
     listed = read_page_stream(spark, pages_path, files_per_trigger, multiline)
-    query = (
-        preprint_metadata(new_publications(listed, memory))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint_path)
-        .trigger(availableNow=True)
-        .start(table_path)
-    )
+    if memory is None:
+        writer = listed.writeStream.foreachBatch(_append_new(table_path))
+    else:
+        rows = preprint_metadata(recent_publications(listed, memory))
+        writer = rows.writeStream.format("parquet").outputMode("append").option("path", table_path)
+    query = writer.option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
     query.awaitTermination()
