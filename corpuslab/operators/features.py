@@ -157,7 +157,6 @@ def nearest_words(model: Word2VecModel, keys: Sequence[str], top: int = 20) -> D
     """
     vectors = model.getVectors().select("word", vector_to_array("vector").alias("v"))
     wanted = vectors.where(F.col("word").isin(list(keys))).collect()  # at most len(keys) rows
-    dot = None
     parts = []
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     for row in wanted:

@@ -78,3 +78,14 @@ def test_flagging_shuffles_nothing(spark):
     marked = sampling.exact_split(spark.range(1000), ["id"])
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_classifier_splits(spark):
+    from corpuslab.plans.training import classifier_splits
+
+    examples = spark.range(100).select("id", F.col("id").cast("string").alias("text"), F.lit(1).alias("label"))
+    splits = classifier_splits(examples.where("id < 80"), examples.where("id >= 80"), 15, ["id"])
+    assert {r["split"]: r["count"] for r in splits.groupBy("split").count().collect()} == {
+        "train": 65, "cv": 15, "test": 20,
+    }
+    assert splits.select("text").distinct().count() == 100

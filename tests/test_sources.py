@@ -8,7 +8,7 @@ import pytest
 from corpuslab import schemas
 from corpuslab.sources import documents as docs
 from corpuslab.sources import tables
-from corpuslab.streaming.pages import ingest_page_stream
+from corpuslab.streaming.pages import _append_new, ingest_page_stream
 
 TEXT = 'line one\nsaid "two", three'
 
@@ -134,3 +134,29 @@ def test_late_pages_are_not_lost(spark, page_files, tmp_path):
     page_files("2.json", publication("old", date="2020-01-01"))
     ingest_page_stream(spark, folder, table, state)
     assert sorted(r["ID"] for r in spark.read.parquet(table).collect()) == ["new", "old"]
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    table = str(tmp_path / "table")
+    schema = "page string, pos int, " + ", ".join(f"{n} string" for n in schemas.PUBLICATION.fieldNames())
+
+    def batch(*dois):
+        rows = [(f"p{i}", i, *publication(d, str(i)).values()) for i, d in enumerate(dois)]
+        return spark.createDataFrame(rows, schema)
+
+    write = _append_new(table)
+    write(batch("a", "b", "a"), 0)
+    write(batch("b", "c"), 1)
+    write(batch("b", "c"), 1)
+    rows = spark.read.parquet(table).orderBy("ID").collect()
+    assert [(r["ID"], r["Version"], r["batch"]) for r in rows] == [("a", 0, 0), ("b", 1, 0), ("c", 1, 1)]
+
+
+def test_stream_of_a_hot_doi(spark, page_files, tmp_path):
+    for i in range(30):
+        folder = page_files(f"{i}.json", *[publication("hot", str(i)) for _ in range(20)], publication(f"d{i}"))
+    for name, memory in (("all", None), ("recent", "7 days")):
+        table = str(tmp_path / name)
+        ingest_page_stream(spark, folder, table, str(tmp_path / f"state-{name}"), memory, files_per_trigger=7)
+        ids = [r["ID"] for r in spark.read.parquet(table).collect()]
+        assert sorted(ids) == sorted(["hot"] + [f"d{i}" for i in range(30)])

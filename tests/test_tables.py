@@ -226,3 +226,27 @@ def test_stage_audit(spark):
     assert {r["stage"]: r["n"] for r in got.collect()} == {
         "read": 5, "downloaded": 3, "long_enough": 2, "distinct": 1, "relevant": 1,
     }
+
+
+def test_a_third_of_the_rows_under_one_key(spark):
+    """Hot ids go through the same plans and give whole results."""
+    n = 3000
+    hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id")))
+    files = spark.range(n).select(
+        hot.alias("id"), F.format_string("p/%05d", "id").alias("path"), F.lit(LONG).alias("text")
+    )
+    metadata = files.select(F.col("id").alias("ID")).distinct()
+    assert joins.ingest_exact(files, metadata).count() == 2001
+    assert joins.ingest_exact(files, metadata, first_file_only=False).count() == n
+    assert joins.orphans(files, metadata.where("ID <> 'hot'")).count() == n // 3
+    first = dedupe.first_per_key(files, ["id"], [F.col("path").desc()], row_id="path")
+    assert first.where("id = 'hot'").first()["path"] == "p/02997" and first.count() == 2001
+    figures = rollup.figure_rollup(
+        files.select(
+            F.col("id").alias("paper_id"), F.lit("1").alias("fig_id"), "text", F.lit(1).alias("label"),
+            F.lit(1).alias("pred_y"), F.lit(0.75).alias("prob_y"),
+        )
+    )
+    assert figures.where("paper_id = 'hot'").first()["n_texts"] == n // 3
+    terms = files.select(F.concat_ws(" ", "id", F.lit("tree")).alias("text"), F.lit(1).alias("label"))
+    assert rows(stats.category_terms(terms, 10), "term", "n_pos") == [("hot", 1000), ("tree", 3000)]
