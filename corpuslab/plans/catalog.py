@@ -732,6 +732,14 @@ def grid_search(spark, sf):
     return spark.createDataFrame(rows, "alpha double, f1 double, is_best boolean")
 
 
+@query
+def model_report(spark, sf):
+    """Metrics rows of one trained model on the test part."""
+    train, test, _ = _examples(spark, sf)
+    fitted = models.fit("dt", train, impurity_decrease=1e-3, max_depth=10)
+    return training.evaluate(fitted, test, "report")
+
+
 @query
 def score_sample(spark, sf):
     """One percent of the distinct corpus, scored by a trained model."""

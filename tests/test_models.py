@@ -89,6 +89,14 @@ def test_grid_search(examples):
     assert hopeless.best.params == {"impurity_decrease": 1.0}
 
 
+def test_evaluate_keeps_predictions_and_model_numbers(spark, examples, tmp_path):
+    train, test = examples
+    out = training.evaluate(fit("dt", train, impurity_decrease=1e-4), test, "r", predictions_path=str(tmp_path / "p"))
+    values = {(r["scope"], r["metric"]): r["value"] for r in out.collect()}
+    assert values["model", "depth"] >= 1 and values["row", "f1"] > 0.7
+    assert spark.read.parquet(str(tmp_path / "p")).count() == test.count()
+
+
 def test_model_round_trip(spark, examples, tmp_path):
     train, test = examples
     fitted = fit("lr", train)
@@ -117,7 +125,7 @@ def test_model_matrix(figure_table):
     )
     runs = {(r["run"], r["scope"]) for r in out.collect()}
     kinds = ("tfidf", "docvec", "corpus_tfidf", "corpus_docvec")
-    assert runs == {(f"matrix/fig/{k}", s) for k in kinds for s in ("row", "figure", "paper")}
+    assert runs == {(f"matrix/fig/{k}", s) for k in kinds for s in ("row", "figure", "paper", "model")}
     f1 = out.where("run = 'matrix/fig/tfidf' and scope = 'row' and metric = 'f1'").first()["value"]
     assert f1 > 0.9
 
