@@ -690,7 +690,7 @@ def _example_vectors(spark: SparkSession, sf: str, session: str):
     split = checkpoint(sampling.exact_split(rows, ["id"]))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     vectorize = training.tfidf_features(train, None, training.CORPUS_GRAMS)
-    done = [checkpoint(vectorize(t).select("id", "features", "label")) for t in (train, test)]
+    done = [training.training_table(vectorize(t).select("id", "features", "label")) for t in (train, test)]
     return done[0], done[1], vectorize
 
 

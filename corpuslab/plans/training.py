@@ -33,6 +33,15 @@ GRIDS = {
 }
 
 
+def training_table(df: DataFrame) -> DataFrame:
+    """Written rows in even partitions, for the many passes of a fit.
+
+    The partition count is left to the adaptive planner: enough for a large table,
+    one or two for a small one, whose iterations would otherwise be all overhead.
+    """
+    return checkpoint(df.repartition("id"))
+
+
 @dataclass
 class Search:
     best: Fitted
@@ -59,7 +68,7 @@ def grid_search(
     above zero.
     """
     split = holdout(examples, ["id"], holdout_rows, seed)
-    table = checkpoint(split.select("id", "features", "label", "split"))
+    table = training_table(split.select("id", "features", "label", "split"))
     train = table.where("split = 'train'").drop("split")
     cv = table.where("split = 'cv'").drop("split")
 
@@ -168,7 +177,7 @@ def model_matrix(
             apply = tfidf_features(table.train, other, longest)
         else:
             apply = doc_vector_features(table.train, other, **options)
-        train, test = checkpoint(apply(table.train)), checkpoint(apply(table.test))
+        train, test = training_table(apply(table.train)), training_table(apply(table.test))
         name = f"{run}/{table.name}/{'corpus_' if from_corpus else ''}{kind}"
         for family, grid in (families or {f: GRIDS[f] for f in GRIDS if f != "lr"}).items():
             search = grid_search(family, train, grid, holdout_rows)
