@@ -85,7 +85,7 @@ def keyword_filter(spark, sf):
 @query
 def length_mask(spark, sf):
     masked = table(spark, sf, "documents").withColumn("text", short_is_null())
-    return masked.where(tx.long_enough(F.col("text"))).select("doc_id", F.length("text").alias("n"))
+    return masked.where(tx.long_enough(F.col("text"))).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 @query
@@ -233,7 +233,7 @@ def archive_ingest(spark, sf):
     extracted = docs.extract_texts(
         members.select(F.col("member").alias("path"), "content"), lambda b: b.decode("latin1")
     )
-    return extracted.select(tx.id_from_text_file(F.col("path")).alias("id"), "text", "error")
+    return extracted.select(tx.id_from_text_file(F.col("path")).alias("id"), "text", F.coalesce("error", F.lit("")).alias("error"))
 
 
 # --- ingest --------------------------------------------------------------------------

@@ -256,7 +256,7 @@ ORACLES: dict[str, str] = {
           regexp_replace(text, {_NOT_LATIN1}, '?', 'g') as text from documents)
         select id, text, 1 as downloaded from f where {_HIT}""",
     "archive_ingest": f"""select 'PMC' || doc_id as id,
-        regexp_replace(text, {_NOT_LATIN1}, '?', 'g') as text, null::varchar as error from documents""",
+        regexp_replace(text, {_NOT_LATIN1}, '?', 'g') as text, '' as error from documents""",
     "ingest_exact": f"""with {_PDF_FILES}, {_PDF_META},
         f as (select id, min(path) as p from files where length(text) > 100 group by id)
         select '"' || files.id || '"' as id, text, (length(text) > 100)::int as downloaded, "Binary"
