@@ -139,13 +139,13 @@ def fences(sketches: DataFrame, width: float = FENCE_WIDTH, least_group: int = L
     """
     of_source = quartiles(sketches, ["lang", "source"])
     of_lang = quartiles(sketches, ["lang"]).select(F.col("lang").alias("_l"), F.col("found").alias("_lf"), F.col("total").alias("_lt"))
-    of_all = quartiles(sketches.withColumn("_one", F.lit(1)), ["_one"]).select("_one", F.col("found").alias("_af"))
-    chosen = (
-        of_source.join(of_lang, F.col("lang").eqNullSafe(F.col("_l")), "left")
-        .withColumn("_one", F.lit(1)).join(of_all, "_one", "left")
-        .withColumn("use", F.when(F.col("total") >= least_group, F.col("found"))
-                    .when(F.col("_lt") >= least_group, F.col("_lf")).otherwise(F.col("_af")))
-    )
+    # One row: the quartiles of each rule over all documents.
+    of_all = quartiles(sketches.withColumn("_one", F.lit(1)), ["_one"]).first()
+    of_all = F.create_map(*(
+        x for rule, (low, high) in sorted(of_all["found"].items())
+        for x in (F.lit(rule), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))))) if of_all else F.lit(None)
+    chosen = of_source.join(of_lang, F.col("lang").eqNullSafe(F.col("_l")), "left").withColumn(
+        "use", F.when(F.col("total") >= least_group, F.col("found")).when(F.col("_lt") >= least_group, F.col("_lf")).otherwise(of_all))
     lower, upper = [], []
     for k, rule in enumerate(RULES):
         low, high = F.col("use")[k]["low"], F.col("use")[k]["high"]

@@ -5,7 +5,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import quality, token_counts, url_filter
+from corpuslab.llm import decontamination, jaccard_join, licenses, mixing, quality, secrets, token_counts, token_output, toxicity, url_filter
+from corpuslab.llm.words import word_count
+from corpuslab.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +52,52 @@ def op8_quality_rules(spark, sf):
 def op9_url_filter(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES).drop("url")
+
+
+@query
+def op2_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(materialize(docs, "sizes"))
+    position = F.get(F.col("copies"), F.lit(0))["position"]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", position.alias("position")).orderBy("position")
+
+
+@query
+def op7_secrets(spark, sf):
+    found = secrets.find(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [secrets.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op1_decontamination(spark, sf):
+    found = decontamination.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("_row")
+
+
+@query
+def op10_token_output(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_output.materialise(docs, public_tokenizers.path(TOKENIZER)).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op3_licenses(spark, sf):
+    return licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op6_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").where(~held_out()).select("doc_id", "toxic")
+    scored = toxicity.score(docs, labels)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_jaccard_join(spark, sf):
+    return jaccard_join.join(table(spark, sf, "documents").select("doc_id", "text"))
