@@ -15,12 +15,10 @@ from corpuslab.functions.text import normalize_text
 from corpuslab.functions.tokens import feature_words, keep_only, ngrams, words
 from corpuslab.storage import materialize
 
-# Above this many frequent words the n-gram pruning is skipped; results are equal.
-PRUNE_LIMIT = 20_000
-
 
 def _grams(text: str, longest: int, frequent: Sequence[str] | None) -> Column:
-    tokens = feature_words(F.col(text))
+    """Grams of the normalised text; of the words in ``frequent`` alone, if given."""
+    tokens = feature_words(normalize_text(F.col(text)))
     return ngrams(tokens if frequent is None else keep_only(tokens, frequent), longest)
 
 
@@ -32,15 +30,15 @@ def _doc_counts(corpus: DataFrame, terms: Column) -> DataFrame:
     )
 
 
-def _frequent_words(corpus: DataFrame, text: str, at_least: float) -> list[str] | None:
-    """Words in at least ``at_least`` documents, or None if too many to list.
+def _frequent_words(corpus: DataFrame, text: str, at_least: float) -> list[str]:
+    """Words in at least ``at_least`` documents.
 
     A gram occurs in no more documents than each of its words, so grams with a
-    rarer word can be skipped before they are shuffled.
+    rarer word can be skipped before they are shuffled. The list is bounded by
+    (distinct words per document) / (share of the documents).
     """
-    counts = _doc_counts(corpus, feature_words(F.col(text)))
-    rows = counts.where(F.col("df") >= at_least).select("term").limit(PRUNE_LIMIT + 1).collect()
-    return None if len(rows) > PRUNE_LIMIT else [r["term"] for r in rows]
+    counts = _doc_counts(corpus, feature_words(normalize_text(F.col(text))))
+    return [r["term"] for r in counts.where(F.col("df") >= at_least).select("term").collect()]
 
 
 def fit_vocabulary(
@@ -64,11 +62,10 @@ def fit_vocabulary(
     return materialize(kept.withColumn("idf", idf), "vocabulary")
 
 
-def _words_of(vocabulary: DataFrame) -> list[str] | None:
+def _words_of(vocabulary: DataFrame) -> list[str]:
     """Words of the vocabulary terms: no other word can be part of a known term."""
     parts = vocabulary.select(F.explode(F.split("term", " ")).alias("w")).distinct()
-    rows = parts.limit(PRUNE_LIMIT + 1).collect()
-    return None if len(rows) > PRUNE_LIMIT else [r["w"] for r in rows]
+    return [r["w"] for r in parts.collect()]
 
 
 def tfidf(
@@ -125,18 +122,21 @@ def apply_tfidf_vectors(
 ) -> DataFrame:
     """Add the vectors. ``longest`` may be smaller than at the fit."""
     known = sorted({w for term in model.stages[0].vocabulary for w in term.split(" ")})
-    grams = _grams(text, longest, known if len(known) <= PRUNE_LIMIT else None)
-    return model.transform(df.withColumn("tokens", grams)).drop("tokens", "_tf", "_raw")
+    return model.transform(df.withColumn("tokens", _grams(text, longest, known))).drop("tokens", "_tf", "_raw")
 
 
 def fit_doc_vectors(
     corpus: DataFrame, text: str = "text", size: int = K.DOC_VECTOR_SIZE,
-    passes: int = K.DOC_VECTOR_PASSES, seed: int = 42, min_count: int = 5,
+    passes: int = K.DOC_VECTOR_PASSES, seed: int = 42, min_count: int = 5, partitions: int = 16,
 ) -> Word2VecModel:
-    """Word vectors, averaged per document. A substitute for paragraph vectors."""
+    """Word vectors, averaged per document. A substitute for paragraph vectors.
+
+    The corpus is trained in ``partitions`` tasks, whose vectors are averaged after each
+    pass; words in fewer than ``min_count`` places get no vector.
+    """
     tokens = corpus.select(words(normalize_text(F.col(text))).alias("tokens"))
     return Word2Vec(
-        vectorSize=size, maxIter=passes, minCount=min_count, seed=seed,
+        vectorSize=size, maxIter=passes, minCount=min_count, seed=seed, numPartitions=partitions,
         inputCol="tokens", outputCol="features",
     ).fit(tokens)
 

@@ -63,13 +63,18 @@ def positive_share(predictions: DataFrame, by: str = "source", pred: str = "pred
 
 
 def eval_metrics(df: DataFrame, label: str = "label", pred: str = "pred_y", by: tuple = ()) -> DataFrame:
-    """(metric, value) rows; class 1 is positive; a zero denominator is NULL."""
+    """(metric, value) rows; class 1 is positive; a zero denominator is NULL.
+
+    ``n_other`` counts the rows whose label or prediction is neither 0 nor 1: no other
+    metric has a place for them.
+    """
 
     def cell(truth: int, guess: int) -> Column:
         return F.count_if((F.col(label) == truth) & (F.col(pred) == guess))
 
     counts = df.groupBy(*by).agg(
-        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn")
+        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"),
+        F.count_if(~F.coalesce(F.col(label).isin(0, 1) & F.col(pred).isin(0, 1), F.lit(False))).alias("n_other"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     values = {
@@ -77,6 +82,7 @@ def eval_metrics(df: DataFrame, label: str = "label", pred: str = "pred_y", by:
         "fp": fp,
         "fn": fn,
         "tn": tn,
+        "n_other": F.col("n_other"),
         "accuracy": F.try_divide(tp + tn, tp + tn + fp + fn),
         "sensitivity": F.try_divide(tp, tp + fn),
         "specificity": F.try_divide(tn, tn + fp),

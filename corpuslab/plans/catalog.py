@@ -24,7 +24,7 @@ from corpuslab.plans import scoring, training
 from corpuslab.plans.query_inputs import KEYWORDS, LIBRARY_STOP_WORDS
 from corpuslab.sources import documents as docs
 from corpuslab.sources import tables
-from corpuslab.storage import checkpoint, scratch_path, spread
+from corpuslab.storage import checkpoint, scratch_path
 from corpuslab.streaming import pages as page_stream
 
 STOP_WORDS = tk.stop_words(LIBRARY_STOP_WORDS)
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def div(column: str, by: int):
@@ -158,7 +158,7 @@ def latest_version(spark, sf):
 @query
 def corpus_union(spark, sf):
     names = ("documents", "conversations", "benchmark")
-    return corpora.text_corpus(*[spread(table(spark, sf, n), "text") for n in names])
+    return corpora.text_corpus(*[table(spark, sf, n) for n in names])
 
 
 @query
@@ -576,7 +576,7 @@ def logits_to_pred(spark, sf):
 
 
 def _vectors(spark, sf):
-    return spread(table(spark, sf, "embeddings"), "vec_id").select(
+    return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"
     )
 

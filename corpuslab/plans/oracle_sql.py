@@ -100,7 +100,7 @@ _LABELED = """labeled as (select d.doc_id, d.text, l.quality
 
 def _vocabulary_cte(corpus: str) -> str:
     return f"""n as (select count(*)::double as n from {corpus}),
-      toks as (select {_words('lower(text)', 2)} as t from {corpus}),
+      toks as (select {_words(_normal('text'), 2)} as t from {corpus}),
       grams as (select unnest(list_distinct({_gram_list(2)})) as term from toks),
       dfs as (select term, count(*) as df from grams group by term),
       vocab as (select term, df, ln((1.0 + n) / (df + 1.0)) + 1.0 as idf from dfs, n
@@ -109,7 +109,7 @@ def _vocabulary_cte(corpus: str) -> str:
 
 def _tfidf(corpus: str) -> str:
     return f"""with {_LABELED}, {_vocabulary_cte(corpus)},
-      dt as (select doc_id, {_words('lower(text)', 2)} as t from labeled),
+      dt as (select doc_id, {_words(_normal('text'), 2)} as t from labeled),
       dg as (select doc_id, unnest({_gram_list(2)}) as term from dt),
       c as (select doc_id, dg.term, idf, count(*) as tf from dg join vocab on dg.term = vocab.term
           group by doc_id, dg.term, idf)
@@ -340,8 +340,9 @@ ORACLES: dict[str, str] = {
         c as (select count(*) filter (where y = 1 and g = 1)::double as tp,
           count(*) filter (where y = 0 and g = 1)::double as fp,
           count(*) filter (where y = 1 and g = 0)::double as fn,
-          count(*) filter (where y = 0 and g = 0)::double as tn from p)
-        select 'tp' as metric, tp as value from c union all select 'fp', fp from c
+          count(*) filter (where y = 0 and g = 0)::double as tn,
+          count(*) filter (where not (y in (0, 1) and g in (0, 1)) or y is null or g is null)::double as n_other from p)
+        select 'n_other' as metric, n_other as value from c union all select 'tp', tp from c union all select 'fp', fp from c
         union all select 'fn', fn from c union all select 'tn', tn from c
         union all select 'accuracy', round((tp + tn) / nullif(tp + tn + fp + fn, 0), 6) from c
         union all select 'sensitivity', round(tp / nullif(tp + fn, 0), 6) from c

@@ -9,12 +9,12 @@ _local_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one in local mode only."""
+    """The shared folder of the cluster; a temporary one in one-process local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _local_roots:
         _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="corpuslab-")
@@ -43,16 +43,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan at least one task per core before heavy text work.
-
-    A file with few row groups is read by few tasks however many cores wait. A
-    scan that already has enough tasks, as any large one does, is left alone, so
-    no text is shuffled at scale.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *keys)

@@ -35,7 +35,7 @@ def recent_publications(listed: DataFrame, memory: str) -> DataFrame:
     DOI that is listed everywhere from meeting in one task.
     """
     salted = listed.withColumns(
-        {"_date": F.to_timestamp("date"), "_salt": F.pmod(F.xxhash64("page"), F.lit(SALTS))}
+        {"_date": F.try_to_timestamp("date"), "_salt": F.pmod(F.xxhash64("page"), F.lit(SALTS))}
     )
     return (
         salted.withWatermark("_date", memory)
