@@ -14,17 +14,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = materialize(
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
     while True:
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
-        following = materialize(small.where("a != b").distinct(), "links")
-        # Two sides of equal links show a star around each least node, which is the end.
-        changed = following.join(links, ["a", "b"], "left_anti").limit(1).count() or links.join(following, ["a", "b"], "left_anti").limit(1).count()
-        links = following
-        if not changed:
+        links = materialize(small.where("a != b").distinct(), "links")
+        # Equal links in two rounds are a star around each least node, which is the end.
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+        if now == before:
             break
+        before = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(links.select("b", "b").distinct())

@@ -21,13 +21,14 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.bits import bit_table, in_table
-from corpuslab.llm.words import CACHE_ENTRIES, window_hashes
+from corpuslab.llm.columns import fresh
+from corpuslab.llm.words import CACHE_ENTRIES, text_batches, window_hashes
 from corpuslab.storage import materialize
 
 WINDOW, LEAST_LITERAL = 8, 5
@@ -114,22 +115,25 @@ WINDOW_COLUMNS = "place int, hash long, slots array<string>"
 
 def template_windows(rows: DataFrame, keys: list[str], wanted: np.ndarray | None = None, text: str = "text") -> DataFrame:
     """Template windows of every text: the key columns and WINDOW_COLUMNS."""
+    text_batches(rows.sparkSession)
     rows = rows.select(*keys, F.col(text).alias("_text"))
     types = ", ".join(f"`{k}` {t}" for k, t in rows.drop("_text").dtypes)
     table = rows.sparkSession.sparkContext.broadcast(wanted)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                found = list(windows(part["_text"].tolist(), words, table.value))
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = list(windows(part.column("_text").to_pylist(), words, table.value))
                 if found:
-                    out = part[keys].iloc[[f[0] for f in found]].reset_index(drop=True)
-                    out["place"], out["hash"], out["slots"] = [f[1] for f in found], [f[2] for f in found], [f[3] for f in found]
-                    yield out
+                    rows = pa.array([f[0] for f in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(k).take(rows) for k in keys]
+                        + [pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.list_(pa.string()))],
+                        [*keys, "place", "hash", "slots"])
 
-    return rows.mapInPandas(cut, f"{types}, {WINDOW_COLUMNS}")
+    return rows.mapInArrow(cut, f"{types}, {WINDOW_COLUMNS}")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
@@ -161,5 +165,6 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
 
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents in which no benchmark item is found."""
-    found = find(docs, benchmark, key, text=text, **options).select("_row").distinct()
-    return docs.withColumn("_row", F.xxhash64(key, text)).join(found, "_row", "left_anti").select(docs.columns)
+    row = fresh(docs, "_row")
+    found = find(docs, benchmark, key, text=text, **options).select(F.col("_row").alias(row)).distinct()
+    return docs.withColumn(row, F.xxhash64(key, text)).join(found, row, "left_anti").drop(row)

@@ -13,8 +13,9 @@ metric works:
    cell is linked through its pivot, so its members are never compared with each other.
 3. Regions whose nodes all got one label are done. The others join recursively: large
    ones take the next pivot and compare it with the nodes of other labels; small ones
-   compare the rest across labels. Sizes (0.8 <= ratio) and the triangle inequality
-   over a pivot that both were measured against cut pairs that cannot be near.
+   compare the rest across labels. Sizes (0.8 <= ratio), the triangle inequality over a
+   pivot that both were measured against, and sketches, coordinates in which the sets'
+   distance can only shrink, cut pairs that cannot be near before sets are compared.
 4. The join ends when no region with several labels is left, so no link between
    different sets can be missed.
 
@@ -31,130 +32,185 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corpuslab.llm.bits import bit_table, in_table
+from corpuslab.llm.columns import fresh
 from corpuslab.llm.components import components
-from corpuslab.llm.words import WordHashes, window_hashes
+from corpuslab.llm.words import WordReader, text_batches, window_hashes
 from corpuslab.storage import materialize
 
 SHINGLE, NEAR = 5, (4, 5)
 #: Shingles counted together, the count that makes one frequent there, and the most that are kept.
-COUNTED, FREQUENT, MOST_FREQUENT = 2_000_000, 4, 1 << 18
+COUNTED, FREQUENT, MOST_FREQUENT = 2_000_000, 2, 1 << 18
+#: Classes of shingles in sketches of sets below a size, and above all of them.
+SKETCHES, MOST_CLASSES = ((1500, 128), (6000, 512)), 2048
+#: Bytes of text that a task reads at a time.
+GROUP_BYTES = 1 << 18
 #: Nodes of a region that share a task before it is dealt out further.
 SALTED = 1000
 #: Regions up to this size are compared directly; larger ones take pivots for so many rounds first.
 LEAF, ROUNDS = 48, 6
 
 
-def shingles(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    row = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(window_hashes(row, min(size, len(row))))
+def shingles(texts: list[str | None], reader: WordReader, size: int) -> list[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its shingles."""
+    words, bounds = reader.read(texts)
+    windows, out = window_hashes(words, size), []
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        if end - start >= size:
+            found = np.sort(windows[start : end - size + 1])
+            distinct = np.empty(len(found), bool)
+            distinct[0] = True
+            np.not_equal(found[1:], found[:-1], out=distinct[1:])
+            out.append(found[distinct])
+        else:
+            out.append(window_hashes(words[start:end], end - start) if end > start else np.empty(0, np.uint64))
+    return out
 
 
 def identity(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def first_pass(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (key, node, n) of all documents, and rows (shingle, times) of those frequent in a task."""
+def groups_of_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about GROUP_BYTES of text, one row at least."""
+    start, held = 0, 0
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for k, size in enumerate(sizes):
+        if held and held + size > GROUP_BYTES:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """How many shingles fall into each class, up to 255; larger sets have more classes."""
+    classes = next((c for n, c in SKETCHES if len(found) < n), MOST_CLASSES)
+    return np.minimum(np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
+
 
-    columns = ["key", "node", "n", "shingle", "times"]
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """City-block distance of two sketches, the longer folded to the shorter one's classes."""
+    left, right = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
+    classes = min(len(left), len(right))
+    return int(np.abs(left.reshape(-1, classes).sum(axis=0) - right.reshape(-1, classes).sum(axis=0)).sum())
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, waiting, held = WordHashes(), [], 0
+
+def first_pass(docs: DataFrame, size: int) -> DataFrame:
+    """Rows (key, node, n, sketch) of all documents, and rows (shingle, times) of those frequent in a task."""
+    columns = ["key", "node", "n", "sketch", "shingle", "times"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, waiting, held = WordReader(), [], 0
 
         def frequent():
-            found, times = np.unique(np.concatenate(waiting), return_counts=True)
+            together = np.concatenate(waiting)
+            waiting.clear()
+            together.sort()
+            starts = np.flatnonzero(np.concatenate([[True], together[1:] != together[:-1], [True]]))
+            times = np.diff(starts)
             often = times >= FREQUENT
-            return pd.DataFrame({"shingle": found[often].view(np.int64), "times": times[often]}).reindex(columns=columns)
-
-        for batch in batches:
-            nodes, sizes = [], []
-            for text in batch["text"]:
-                found = shingles(text, hashes, size)
-                nodes.append(identity(found))
-                sizes.append(len(found))
-                waiting.append(found)
-                held += len(found)
+            none = [pa.nulls(int(often.sum()), t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(together[starts[:-1][often]].view(np.int64)), pa.array(times[often])], columns)
+
+        for whole in batches:
+            for batch in groups_of_texts(whole):
+                kind = batch.column("key").type
+                sets = shingles(batch.column("text").to_pylist(), reader, size)
+                waiting += sets
+                held += sum(map(len, sets))
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("key"), pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s) for s in sets], pa.binary()), none, none], columns)
                 if held > COUNTED:
                     yield frequent()
-                    waiting, held = [], 0
-            yield pd.DataFrame({"key": batch["key"], "node": nodes, "n": sizes}).reindex(columns=columns)
-        if waiting:
+                    held = 0
+        if held:
             yield frequent()
 
     key = dict(docs.dtypes)["key"]
-    return docs.mapInPandas(read, f"key {key}, node long, n long, shingle long, times long")
+    return docs.mapInArrow(read, f"key {key}, node long, n long, sketch binary, shingle long, times long")
 
 
 def postings(docs: DataFrame, size: int, frequent: np.ndarray, times: np.ndarray, near: tuple[int, int]) -> DataFrame:
-    """(shingle, salt, node, n) of the first shingles of each class; a class once per task."""
+    """(shingle, salt, salted, node, n) of the first shingles of each class; a class once per task."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, times))
     top, bottom = near
+    columns = ["shingle", "salt", "salted", "node", "n"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = shared.value
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                parts, nodes, sizes, lengths, salts, dealt = [], [], [], [], [], []
-                for text in batch["text"].iloc[start : start + 256]:
-                    found = shingles(text, hashes, size)
+        reader, seen = WordReader(), set()
+        for whole in batches:
+            for batch in groups_of_texts(whole):
+                parts, ranks, nodes, sizes = [], [], [], []
+                for found in shingles(batch.column("text").to_pylist(), reader, size):
                     if not len(found) or (node := identity(found)) in seen:
                         continue
                     seen.add(node)
                     n = len(found)
                     length = n + (-top * n // bottom) + 1
+                    rank = np.zeros(n, np.int64)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
                         rank = np.where(frequent[at] == found, times[at], 0)
                         if rank.any():
-                            order = np.lexsort((found, rank))[:length]
+                            order = np.argsort(rank, kind="stable")[:length]
                             found, rank = found[order], rank[order]
-                        salt = np.where(rank[:length] > SALTED, node % (rank[:length] // SALTED + 1), 0)
-                    else:
-                        rank = salt = np.zeros(length, np.int64)
                     parts.append(found[:length])
-                    salts.append(salt)
-                    dealt.append(rank[:length] > SALTED)
+                    ranks.append(rank[:length])
                     nodes.append(node)
                     sizes.append(n)
-                    lengths.append(length)
                 if parts:
-                    yield pd.DataFrame({
-                        "shingle": np.concatenate(parts).view(np.int64), "salt": np.concatenate(salts).astype(np.int32),
-                        "salted": np.concatenate(dealt), "node": np.repeat(nodes, lengths), "n": np.repeat(sizes, lengths)})
+                    lengths = list(map(len, parts))
+                    rank, node = np.concatenate(ranks), np.repeat(np.array(nodes, np.int64), lengths)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate(parts).view(np.int64)), pa.array((node % (rank // SALTED + 1)).astype(np.int32)), pa.array(rank > SALTED),
+                        pa.array(node), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], columns)
 
-    return docs.mapInPandas(read, "shingle long, salt int, salted boolean, node long, n long")
+    return docs.select("text").mapInArrow(read, "shingle long, salt int, salted boolean, node long, n long")
 
 
 def read_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
     """(node, members) of the documents whose key's hash is in the bit table."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
-            chosen = batch["text"][in_table(shared.value, batch["hash"].to_numpy(np.int64))]
-            for start in range(0, len(chosen), 256):
-                rows = []
-                for text in chosen.iloc[start : start + 256]:
-                    found = shingles(text, hashes, size)
-                    node = identity(found)
-                    if len(found) and node not in seen:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, seen = WordReader(), set()
+        for whole in batches:
+            chosen = whole.filter(pa.array(in_table(shared.value, whole.column("hash").to_numpy())))
+            for batch in groups_of_texts(chosen):
+                rows = {}
+                for found in shingles(batch.column("text").to_pylist(), reader, size):
+                    if len(found) and (node := identity(found)) not in seen:
                         seen.add(node)
-                        rows.append((node, found.tobytes()))
-                yield pd.DataFrame(rows, columns=["node", "members"])
+                        rows[node] = found.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["node", "members"])
+
+    return docs.select(F.xxhash64("key").alias("hash"), "text").mapInArrow(read, "node long, members binary")
 
-    return docs.select(F.xxhash64("key").alias("hash"), "text").mapInPandas(read, "node long, members binary")
+
+def near_in_sketch(pairs: DataFrame, classes: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """The pairs (a, an, b, bn) whose sketches allow a link. Class counts are coordinates in
+    which the city-block distance is at most the symmetric difference of the sets."""
+
+    @F.pandas_udf("long")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(list(map(sketch_distance, a, b)), dtype="int64")
+
+    left, right = (classes.select(F.col("node").alias(c), F.col("sketch").alias("_" + c)) for c in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    # |A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|) for sets of similarity t or more.
+    return met.where(distance("_a", "_b") * (near[1] + near[0]) <= (F.col("an") + F.col("bn")) * (near[1] - near[0])).select(pairs.columns)
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,6 +226,23 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("shared", intersection("_a", "_b")).drop("_a", "_b")
 
 
+def most_frequent(counted: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, and their times: those from the least power of two on that keeps the list within `most`."""
+    counted = materialize(counted, "jaccard-frequent")
+    level = F.floor(F.log2("times")).cast("int")
+    total, least = 0, 64
+    # One row per power of two.
+    for power, n in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = power
+    table = counted.where(level >= least).toArrow()
+    shingle, times = table.column("shingle").to_numpy().view(np.uint64), table.column("times").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], times[order]
+
+
 def may_be_near(n, m, near: tuple[int, int]):
     return (F.least(n, m) * near[1] >= F.greatest(n, m) * near[0])
 
@@ -181,16 +254,13 @@ def is_near(shared, n, m, near: tuple[int, int]):
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, near: tuple[int, int] = NEAR,
          leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
     """Per document: key, n_shingles, and component_id, the least key that links reach."""
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    read = materialize(first_pass(docs, size), "jaccard-classes")
-    classes = read.where("node is not null").select("key", "node", "n")
-    often = (
-        read.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toPandas()  # a bounded list that only sets an order
-    )
-    frequent = often["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, times = frequent[order], often["times"].to_numpy(np.int64)[order]
+    read = materialize(first_pass(docs, size), "jaccard-documents")
+    documents = read.where("node is not null").select("key", "node", "n")
+    classes = materialize(
+        read.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    frequent, times = most_frequent(read.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")))
 
     # Members of regions of two nodes or more, each with its region's pivot. A salted region
     # has a pivot in each part, and these have one of their own.
@@ -201,15 +271,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     heads = rows.where(~other).withColumn("pivot", F.min(F.struct("node", "n")).over(whole)).where(other)
     members = rows.where(other).union(heads).select("shingle", "node", "n", F.col("pivot.node").alias("p"), F.col("pivot.n").alias("pn"))
 
-    nodes = members.select("node").union(members.select("p")).distinct()
-    keys = classes.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key"))
-    sets = materialize(read_sets(docs, size, bit_table(keys.select(F.xxhash64("key").alias("hash")))), "jaccard-sets")
+    def measured_pairs(pairs: DataFrame, label: str) -> DataFrame:
+        """Pairs that sketches allow, with the size of their intersection."""
+        pairs = materialize(pairs, "jaccard-candidates")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        keys = classes.join(nodes, "node", "left_semi").select(F.xxhash64("key").alias("hash"))
+        return materialize(measure(pairs, read_sets(docs, size, bit_table(keys))), label)
 
-    # Each node against the pivot that it shares most regions with.
+    # Each node against the pivot that it shares most regions with, of those it may be near.
     met = members.where(may_be_near(F.col("n"), F.col("pn"), near)).groupBy("node", "n", "p", "pn").agg(F.count("*").alias("times"))
-    best = met.groupBy("node", "n").agg(F.max_by(F.struct("p", "pn"), F.struct("times", "p")).alias("best"))
-    pairs = best.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("best.p").alias("b"), F.col("best.pn").alias("bn"))
-    measured = materialize(measure(pairs, sets), "jaccard-cells")
+    met = met.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("b"), F.col("pn").alias("bn"), "times")
+    best = near_in_sketch(met, classes, near).groupBy("a", "an").agg(F.max_by(F.struct("b", "bn"), F.struct("times", "b")).alias("best"))
+    measured = measured_pairs(best.select("a", "an", F.col("best.b").alias("b"), F.col("best.bn").alias("bn")), "jaccard-cells")
     found = measured.where(is_near(F.col("shared"), F.col("an"), F.col("bn"), near)).select("a", "b")
     labels = components(found)
     place = measured.select(F.col("a").alias("node"), F.col("b").alias("_p"), (1 - F.col("shared") / (F.col("an") + F.col("bn") - F.col("shared"))).alias("_d"))
@@ -240,7 +313,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
             F.least("node", "y.node").alias("a"), F.when(F.col("node") < F.col("y.node"), F.col("n")).otherwise(F.col("y.n")).alias("an"),
             F.greatest("node", "y.node").alias("b"), F.when(F.col("node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("n")).alias("bn"),
         ).distinct().join(tried, ["a", "b"], "left_anti")
-        measured = materialize(measure(pairs, sets), "jaccard-pairs")
+        measured = measured_pairs(near_in_sketch(pairs, classes, near), "jaccard-pairs")
         new = measured.where(is_near(F.col("shared"), F.col("an"), F.col("bn"), near)).select("a", "b")
         if not new.isEmpty():
             found = found.union(new)
@@ -250,15 +323,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
         tried = tried.union(measured.select("a", "b"))
         open_ = divided.join(head.select("shingle", F.col("y.node").alias("_h")), "shingle").where("node != _h").select("shingle", "node", "n", "_p", "_d")
 
-    return assign(classes, labels).withColumnsRenamed({"key": key, "n": "n_shingles"})
+    return assign(documents, labels).withColumnsRenamed({"key": key, "n": "n_shingles"})
 
 
-def assign(classes: DataFrame, labels: DataFrame) -> DataFrame:
+def assign(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, n, component_id): the least key of each component, through one row per class."""
     node = F.when(F.col("n") > 0, F.col("node"))
-    classes = classes.select("key", "n", node.alias("node"))
-    keys = classes.where("node is not null").groupBy("node").agg(F.min("key").alias("first"))
+    documents = documents.select("key", "n", node.alias("node"))
+    keys = documents.where("node is not null").groupBy("node").agg(F.min("key").alias("first"))
     labelled = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = labelled.join(least, "label").select("node", "component_id")
-    return classes.join(by_class, "node", "left").select("key", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    return documents.join(by_class, "node", "left").select("key", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each component, with the columns of `docs`. Rows are told apart by key and
+    text, so a repeated or null key loses no other text; of wholly equal rows one stays."""
+    row, place = fresh(docs, "_row"), fresh(docs, "_place")
+    docs = docs.withColumn(row, F.xxhash64(key, text))
+    joined = join(docs.select(row, text), row, text, **options)
+    first = joined.where(F.col(row) == F.col("component_id")).select(row).distinct()
+    number = F.row_number().over(Window.partitionBy(row).orderBy(row))
+    return docs.join(first, row, "left_semi").withColumn(place, number).where(F.col(place) == 1).drop(row, place)

@@ -1,7 +1,6 @@
 """What the operators share: the word definition and word hashing inside tasks."""
 import numpy as np
-import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What ends a word (space, tab, line feed, vertical tab, form feed, carriage return).
@@ -22,16 +21,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered within a task."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_ENTRIES:
-            self[word] = value
-        return value
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers (a bijection)."""
     out = values.astype(np.uint64, copy=True)
@@ -43,11 +32,50 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Order-sensitive hashes of all windows of `size` word hashes."""
+    """Order-sensitive hashes of all windows of `size` well-mixed word hashes."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = mix(out + words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+    out = words[:n].copy()
+    for k in range(1, size):
+        out *= FACTOR
+        out += words[k : k + n]
     return mix(out)
+
+
+#: An odd number and its inverse modulo 2 ** 64.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+ENDS_WORD = np.zeros(256, bool)
+ENDS_WORD[[9, 10, 11, 12, 13, 32]] = True
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a task holds few texts at a time, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+class WordReader:
+    """Hashes of all words of many texts at once.
+
+    A word's hash is the difference of two running sums of bytes times powers of FACTOR,
+    taken back to the word's start; so no word becomes an object of its own."""
+
+    def __init__(self):
+        self.powers = self.inverses = np.empty(0, np.uint64)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the words in a row, bounds: text k has the words bounds[k]:bounds[k + 1]); A-Z count as a-z."""
+        raw = [(t or "").encode().lower() for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        if len(data) > len(self.powers):
+            ones = np.ones(1, np.uint64)
+            self.powers = np.cumprod(np.concatenate([ones, np.full(len(data), FACTOR)]), dtype=np.uint64)
+            self.inverses = np.cumprod(np.concatenate([ones, np.full(len(data), INVERSE)]), dtype=np.uint64)
+        edges = np.flatnonzero(np.diff(ENDS_WORD[data].view(np.int8), prepend=np.int8(1)))
+        starts, ends = edges[0::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], dtype=np.uint64)])
+        hashes = mix((sums[ends] - sums[starts]) * self.inverses[starts])
+        offsets = np.cumsum([0] + [len(r) + 1 for r in raw])
+        return hashes, np.searchsorted(starts, offsets)
