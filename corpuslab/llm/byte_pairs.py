@@ -17,7 +17,7 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!
 PROVED = "\U00040000"
 
 #: Entries that each memory of a task may hold; it bounds memory, not results.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 
 #: Longer parts are merged each time and not remembered.
 REMEMBERED_CHARS = 64

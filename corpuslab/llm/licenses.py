@@ -9,7 +9,7 @@ are never free: such a block is reported unconfirmed under its nearest template.
 
 Defined cases: null and empty texts have no block; ties go to the smaller difference,
 then the template's name; repeated rows are each reported; a block of any length is
-compressed whole; extra columns stay; an empty table gives no row.
+compressed whole; extra columns stay (those named like the operator's are replaced); an empty table gives no row.
 """
 import re
 from collections.abc import Iterator
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.columns import free
+
 #: The templates, short public notices; <...> marks a free place.
 TEMPLATES = {
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
@@ -110,7 +112,7 @@ def blocks(text: str, trigger) -> Iterator[tuple[int, str]]:
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per candidate block with a likely template: `docs` without the text, and FOUND."""
-    marked = docs.where(F.col(text).rlike(TRIGGER))
+    marked = free(docs, "_f", *(f.split()[0] for f in FOUND.split(", "))).where(F.col(text).rlike(TRIGGER))
 
     @F.pandas_udf(f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in FOUND.split(', '))}>>")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -16,12 +16,13 @@ size is passed again, up to `epochs` times; the last document of the mix is cut.
 
 Defined cases: a null text has size 0 and is not taken; a null source is a source of
 its own, last; a source or corpus of size 0 has target 0; repeated rows are mixed one
-by one; extra columns stay; an empty table gives an empty one. Windows without a
+by one; extra columns stay (those named like the operator's are replaced); an empty table gives an empty one. Windows without a
 partition run over one row per source.
 """
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.llm.columns import free
 from corpuslab.llm.words import SPACE_CLASS
 
 #: Production schedule by weight class: (time, weight) knots. Light sources fade, heavy ones grow.
@@ -29,6 +30,9 @@ FADING, EVEN, GROWING = [(0.0, 1.5), (1.0, 0.5)], [(0.0, 1.0), (1.0, 1.0)], [(0.
 
 EPOCHS, BUCKETS, SEED = 3, 1024, 20
 
+#: Columns that the operator adds, for good or on the way.
+OWN = "source_size target taken copies position weight pieces rank cap level _place _bucket _within _s _b _before _n _start _total _c".split()
+
 
 def cycled_weight(rank: Column) -> Column:
     """1, 2, 3, repeating by the rank of the source (from 0)."""
@@ -91,7 +95,7 @@ def mix(docs: DataFrame, key: str = "doc_id", weight=cycled_weight, schedule=cyc
     """Add source_size, target, taken and copies (array of copy, words, position) to `docs`,
     which has a key, a source and a long `size`. `weight` and `schedule` map the rank of a
     source by name to its weight and to its knots."""
-    docs = docs.withColumn("_place", F.xxhash64(F.lit(seed), F.col(key)))
+    docs = free(docs, *OWN).withColumn("_place", F.xxhash64(F.lit(seed), F.col(key)))
     docs = docs.withColumn("_bucket", F.pmod(F.shiftright("_place", 20), F.lit(buckets)))
     sources = plan_sources(docs, weight, schedule, epochs)
     totals = docs.groupBy("source", "_bucket").agg(F.sum("size").alias("_total"))

@@ -10,8 +10,8 @@ the quartile; a document beyond any fence is rejected. A group with fewer than
 of all documents.
 
 Defined cases: a null text counts as empty and fails the base rule; null languages and
-sources are groups of their own; repeated rows are judged alike; extra columns stay; an
-empty table gives an empty one.
+sources are groups of their own; repeated rows are judged alike; extra columns stay
+(those named like the operator's are replaced); an empty table gives an empty one.
 """
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.llm.columns import free, packed
+from corpuslab.llm.words import text_batches
 from corpuslab.storage import materialize
 
 #: The characters that count as symbols, and the bytes that end words.
@@ -48,6 +50,9 @@ RULES = (
     Rule("dup_line_share", 0.08),
     Rule("word_length", 0.5, below=True),
 )
+#: Columns that the operator adds, for good or on the way.
+OWN = [m.split()[0] for m in MEASURES.split(", ")] + ["base_failed", "kept", "lower", "upper", "_m", "_l", "_s"]
+
 FENCE_WIDTH, LEAST_GROUP, GROWTH = 4.0, 50, 1.02
 
 
@@ -77,6 +82,8 @@ def measure(text: str | None) -> tuple[int, ...]:
 def with_measures(docs: DataFrame) -> DataFrame:
     """Add MEASURES and base_failed."""
     names = [m.split()[0] for m in MEASURES.split(", ")]
+    text_batches(docs.sparkSession)
+    docs = free(docs, *OWN)
 
     @F.pandas_udf(MEASURES)
     def measures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -177,4 +184,5 @@ def judge(docs: DataFrame, width: float = FENCE_WIDTH, least_group: int = LEAST_
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The documents that `judge` keeps, with their own columns."""
-    return judge(docs, **options).where("kept").select(docs.columns)
+    shaped, columns = packed(docs, OWN, ["text", "lang", "source"])
+    return judge(shaped, **options).where("kept").select(columns)

@@ -5,7 +5,7 @@ other pre-tokens are merged (byte_pairs.py). Special strings inside a text are t
 their own, as the library has it by default.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; no length limit; extra
-columns stay; repeated rows are counted alike; an empty table gives an empty one.
+columns stay (one named `into` is replaced); repeated rows are counted alike; an empty table gives an empty one.
 """
 from collections.abc import Iterator
 
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.byte_pairs import BytePairs, load, odd_characters, special_strings, whole_tokens
+from corpuslab.llm.columns import free
+from corpuslab.llm.words import text_batches
 
 
 def tokenizer_parts(tokenizer_path: str) -> tuple[str, dict[str, int], frozenset[str]]:
@@ -26,6 +28,7 @@ def tokenizer_parts(tokenizer_path: str) -> tuple[str, dict[str, int], frozenset
 
 def with_token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
     """Add the number of tokens of `text` (a long)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_parts(tokenizer_path))
 
     @F.pandas_udf("long")
@@ -34,4 +37,4 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text",
         for batch in batches:
             yield pd.Series([sum(pairs.summaries(t)) for t in batch], dtype="int64")
 
-    return docs.withColumn(into, count(F.col(text)))
+    return free(docs, into).withColumn(into, count(F.col(text)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.byte_pairs import BytePairs
 from corpuslab.llm.token_counts import tokenizer_parts
-from corpuslab.llm.words import mix
+from corpuslab.llm.words import mix, text_batches
 from corpuslab.storage import scratch_path
 
 LENGTH, SHARD_BYTES, KEY, ROUNDS = 256, 16 << 20, 20_26, 4
@@ -58,18 +58,23 @@ def record_type(length: int, id_type: str) -> np.dtype:
     return np.dtype([*HEADER.descr, ("ids", id_type, (length,)), ("end", "S1")])
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH,
-                 shard_bytes: int = SHARD_BYTES, permutation_key: int = KEY) -> int:
-    """Write the shards below `path`; returns the stride in bytes. `key` is an integer column."""
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, key: str = "doc_id", text: str = "text", number: str | None = None,
+                 length: int = LENGTH, shard_bytes: int = SHARD_BYTES, permutation_key: int = KEY) -> int:
+    """Write the shards below `path`; returns the stride in bytes. `key` is an integer column;
+    `number` names an integer column to number documents by, where keys repeat."""
+    docs = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.col(number or key).cast("long").alias("number"), F.col(text).alias("text"))
+    text_batches(docs.sparkSession)
     size = F.octet_length("text")
     # A token has at least one byte, so bytes bound what a document and the corpus can have.
-    low, high, longest, total = docs.agg(F.min("key"), F.max("key"), F.max(size), F.sum(size)).first()
+    low, high, longest, total = docs.agg(F.min("number"), F.max("number"), F.max(size), F.sum(size)).first()
     low, high, longest = low or 0, high or 0, longest or 0
     most = max(1, math.ceil(longest / length))
     domain = (high - low + 2) * most
     if domain >= 1 << 62:
         raise ValueError("keys are too far apart to number the sequences")
+    # A missing number comes after the last one.
+    docs = docs.withColumn("number", F.coalesce(F.col("number"), F.lit(high + 1)))
     parts = tokenizer_parts(tokenizer_path)
     id_type = "<u2" if max(parts[1].values()) < 1 << 16 else "<u4"
     kind = record_type(length, id_type)
@@ -82,18 +87,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, key: str = "do
         step = length * kind["ids"].base.itemsize
         for batch in batches:
             for start in range(0, len(batch), 512):
-                keys, places, bodies = [], [], []
-                for k, t in zip(batch["key"].iloc[start : start + 512], batch["text"].iloc[start : start + 512]):
+                keys, numbers, places, bodies = [], [], [], []
+                part = batch.iloc[start : start + 512]
+                for k, no, t in zip(part["key"], part["number"], part["text"]):
                     ids = b"".join(pairs.summaries(t))
                     here = range(0, len(ids), step)
-                    keys += [NULL_KEY if pd.isna(k) else int(k)] * len(here)
+                    keys += [k] * len(here)
+                    numbers += [(no - low) * most + place for place in range(len(here))]
                     places += range(len(here))
                     bodies += [ids[i : i + step] for i in here]
                 if not bodies:
                     continue
-                # Numbers stay integers throughout: a null key comes after the last one.
-                numbers = np.array([(high - low + 1 if k == NULL_KEY else k - low) * most for k in keys], np.int64) + np.array(places)
-                to = permute(numbers, domain, permutation_key).astype(np.int64)
+                to = permute(np.array(numbers, np.int64), domain, permutation_key).astype(np.int64)
                 yield pd.DataFrame({"shard": (to // width).astype("int32"), "to": to, "key": keys, "place": places, "body": bodies})
 
     schema = "shard int, to long, key long, place int, body binary"

@@ -12,8 +12,8 @@ absent words as independent evidence (Bernoulli naive Bayes).
 Defined cases: null and empty texts get the score of a text without any lexicon word;
 a missing or null label trains nothing; without labels of both kinds the score is the
 share of toxic labels (0.5 without labels); repeated rows score alike; a document
-labelled in several rows counts once per row; extra columns stay; empty tables give no
-row.
+labelled in several rows counts once per row; extra columns stay (a score
+is replaced); empty tables give no row.
 """
 import math
 import re
@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.words import CACHE_ENTRIES
+from corpuslab.llm.columns import free
+from corpuslab.llm.words import CACHE_ENTRIES, text_batches
 from corpuslab.storage import materialize
 
 #: Labelled documents that the lexicon is learned from at most (in hash order of their keys).
@@ -176,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
     sample = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
         F.col(key), F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64(key), "_label").limit(rows)
     # At most `rows` labelled keys: a broadcast of bounded size.
-    known = docs.join(F.broadcast(materialize(sample, "toxicity-sample")), key).select(text, "_label")
+    known = docs.select(key, text).join(F.broadcast(materialize(sample, "toxicity-sample")), key).select(text, "_label")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         channel, counts, total = Channel(model), {0: Counter(), 1: Counter()}, [0, 0]
@@ -219,10 +220,11 @@ def with_score(docs: DataFrame, model: np.ndarray, base: float, weights: dict[st
             odds = [base + sum(weights[w] for w in sorted(lexicon & channel.words(t))) for t in batch]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(odds, float), -500, 500))))
 
-    return docs.withColumn("score", score(F.col(text)))
+    return free(docs, "score").withColumn("score", score(F.col(text)))
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """`docs` with a score learned from `labels` (key, label), which holds training rows only."""
+    text_batches(docs.sparkSession)
     model = language_model(docs, text)
     return with_score(docs, model, *learn(docs, labels, model, key, text, label), text=text)

@@ -6,7 +6,7 @@ first, then the longer path; of two equal rules with different verdicts, block w
 
 Defined cases: a null url or one without `://` has an empty host and path; without a
 fitting rule the verdict is `default`, or `no_host` for an empty host. Repeated rows
-are judged alike, extra columns stay, an empty table gives an empty one.
+are judged alike, extra columns stay (those named like the operator's are replaced), an empty table gives an empty one.
 """
 from collections.abc import Iterable
 from typing import NamedTuple
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.columns import free
 from corpuslab.llm.words import lower_ascii
 
 #: Rules up to this many characters are sent to every task as a trie; larger lists are joined.
@@ -87,7 +88,7 @@ class Trie:
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", no_host: str = "block",
           trie_chars: int = TRIE_CHARS) -> DataFrame:
     """Add host, path, rule (null if none fits) and verdict to `pages` (column url)."""
-    pages = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    pages = free(pages, "host", "path", "rule", "verdict", "_found", "_h", "_p").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if sum(len(r.name) for r in rules) <= trie_chars:
         found = _by_trie(pages, rules)
     else:
