@@ -19,12 +19,13 @@ whole table, and the largest step that Benjamini and Hochberg's bound allows is
 band's threshold. Accepted candidates become spans of kind random.
 
 Defined cases: a null text is empty and has no spans; positions count code points, the
-end is exclusive; repeated rows are judged alike; extra columns stay; an empty table
-gives an empty one.
+end is exclusive; repeated rows are judged alike; extra columns stay (those named
+like the operator's are replaced); an empty table gives an empty one.
 """
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.llm.columns import free
 from corpuslab.storage import materialize
 
 #: The patterns, with the least lengths of what they find.
@@ -58,20 +59,31 @@ ENCODINGS = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def located(text: Column, pattern: str, kind: str) -> Column:
-    """Structs (start, kind number, kind, end, value) of all matches; empty without one."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-    def span(value: Column, i: Column) -> Column:
-        start = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
+    """Structs (start, no, kind, end, value) of all matches; empty without one."""
+
+    def spans(found: Column) -> Column:
+        # The text between the matches, and the matches, in turn: starts are running sums of lengths.
+        between = F.transform(F.split(text, pattern, -1), F.length)
+        sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("value")))
+        none = F.slice(F.array(span(F.lit(0), F.lit(""))), 1, 0)
+        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        summed = F.aggregate(sizes, start, lambda a, m: F.struct(
+            (a["at"] + m["gap"] + F.length(m["value"])).alias("at"),
+            F.concat(a["spans"], F.array(span(a["at"] + m["gap"], m["value"]))).alias("spans")))
+        # The text is cut again only where something was found.
+        return F.when(F.size(found) > 0, summed["spans"]).otherwise(none)
+
+    def span(start: Column, value: Column) -> Column:
         return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("no"), F.lit(kind).alias("kind"),
                         (start + F.length(value)).alias("end"), value.alias("value"))
 
-    # The text is cut again only where something was found.
-    return F.when(F.size(found) > 0, F.transform(found, span)).otherwise(F.slice(F.transform(found, span), 1, 0))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -87,24 +99,31 @@ def log_normal_tail(z: Column) -> Column:
 
 def steps_of_p(value: Column) -> Column:
     """-10 log10 of the battery's p value, as an integer from 0 to 400."""
-    value = F.regexp_replace(value, "=+$", "")
+    return let(F.regexp_replace(value, "=+$", ""), _steps)
+
+
+def _steps(value: Column) -> Column:
     size = F.length(value).cast("double")
+    total = lambda array, of: F.aggregate(array, F.lit(0.0), lambda a, v: a + of(v))
 
     def uniformity(alphabet: str, repeats: float) -> Column:
         k = len(alphabet)
-        squares = F.aggregate(
-            F.transform(F.split(F.lit(alphabet), ""), lambda c: size - F.length(F.replace(value, c, F.lit("")))),
-            F.lit(0.0), lambda a, n: a + n * n)
-        seen, excess = k / size * squares - size, size * (k * repeats - 1)
+        times = F.transform(F.split(F.lit(alphabet), ""), lambda c: size - F.length(F.replace(value, c, F.lit(""))))
+        seen, excess = k / size * total(times, lambda n: n * n) - size, size * (k * repeats - 1)
         return log_normal_tail((k - 1 + excess - seen) / F.sqrt(2 * (k - 1) + 4 * excess))
 
     def serial(alphabet: str) -> Column:
-        x = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / size
-        centred = F.transform(x, lambda v: v - mean)
-        product = F.zip_with(F.slice(centred, F.lit(1), (size - 1).cast("int")), F.slice(centred, F.lit(2), (size - 1).cast("int")), lambda a, b: a * b)
-        spread = F.aggregate(centred, F.lit(0.0), lambda a, v: a + v * v)
-        return F.aggregate(product, F.lit(0.0), lambda a, v: a + v) / F.greatest(spread, F.lit(1e-9)) * F.sqrt(size)
+        """Correlation of neighbours times the root of the length, from plain sums."""
+
+        def correlation(x: Column) -> Column:
+            steps = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: a * b)
+            mean = total(x, lambda v: v) / size
+            ends = F.element_at(x, 1) + F.element_at(x, -1)
+            together = let(mean, lambda m: total(steps, lambda v: v) - m * (2 * size * m - ends) + (size - 1) * m * m)
+            spread = total(x, lambda v: v * v) - size * mean * mean
+            return together / F.greatest(spread, F.lit(1e-9)) * F.sqrt(size)
+
+        return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double")), correlation)
 
     uniform, related = F.lit(None), F.lit(None)
     for pattern, alphabet in reversed(ENCODINGS):
@@ -113,11 +132,13 @@ def steps_of_p(value: Column) -> Column:
         uniform = F.when(here, uniformity(alphabet, repeats)).otherwise(uniform)
         related = F.when(here, serial(alphabet)).otherwise(related)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
-    changed = (F.length(classes) - 1) / F.greatest(size - 1, F.lit(1.0))
-    changed = F.least(changed, F.lit(1 - 1e-9))
-    bound = changed * F.log(F.greatest(changed, F.lit(1e-9)) / TEXT_CHANGES) + (1 - changed) * F.log((1 - changed) / (1 - TEXT_CHANGES))
-    runs = F.when(changed > TEXT_CHANGES, -(size - 1) * bound).otherwise(0.0)
-    log_p = F.when(F.abs(related) > SERIAL_LIMIT, 0.0).otherwise(F.least(F.least(uniform, runs) + F.log(F.lit(2.0)), F.lit(0.0)))
+
+    def runs(changed: Column) -> Column:
+        bound = changed * F.log(F.greatest(changed, F.lit(1e-9)) / TEXT_CHANGES) + (1 - changed) * F.log((1 - changed) / (1 - TEXT_CHANGES))
+        return F.when(changed > TEXT_CHANGES, -(size - 1) * bound).otherwise(0.0)
+
+    by_runs = let(F.least((F.length(classes) - 1) / F.greatest(size - 1, F.lit(1.0)), F.lit(1 - 1e-9)), runs)
+    log_p = F.when(F.abs(related) > SERIAL_LIMIT, 0.0).otherwise(F.least(F.least(uniform, by_runs) + F.log(F.lit(2.0)), F.lit(0.0)))
     return F.least(F.floor(-10 * log_p / F.log(F.lit(10.0))), F.lit(400)).cast("int")
 
 
@@ -130,10 +151,10 @@ def band(size: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by base (spans) and tried (candidates with band and steps)."""
-    docs = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    docs = free(docs, "base", "tried", "spans", "_text", "_runs").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     docs = docs.withColumn("base", base_spans(F.col("_text"))).withColumn("_runs", located(F.col("_text"), RUN, "random"))
-    free = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    tested = F.transform(free, lambda r: F.struct(
+    apart = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    tested = F.transform(apart, lambda r: F.struct(
         r["start"].alias("start"), r["no"].alias("no"), r["kind"].alias("kind"), r["end"].alias("end"),
         band(r["end"] - r["start"]).alias("band"), steps_of_p(r["value"]).alias("steps")))
     return docs.withColumn("tried", tested).withColumn("base", F.transform("base", lambda b: b.dropFields("value"))).drop(text, "_text", "_runs")
