@@ -13,6 +13,8 @@ from functools import lru_cache
 #: Fixed value: the pre-tokens of a byte-level tokenizer, letters and digits written for `re`.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
+SIGNS = (".", ",", ";", ":", "!", "?")
+
 #: Texts with a character from here on (tags, private use) are left to the library whole.
 PROVED = "\U00040000"
 
@@ -106,7 +108,14 @@ class BytePairs(dict):
         return out
 
     def __missing__(self, part: str):
-        value = self.summary(self.ids(self.findall(" " + part)))
+        # Letters are one pre-token, and so is a sign behind them; other parts are cut by the pattern.
+        if part.isalpha():
+            found = [" " + part]
+        elif part[-1:] in SIGNS and part[:-1].isalpha():
+            found = [" " + part[:-1], part[-1]]
+        else:
+            found = self.findall(" " + part)
+        value = self.summary(self.ids(found))
         if len(self) < CACHE_ENTRIES and len(part) <= REMEMBERED_CHARS:
             self[part] = value
         return value

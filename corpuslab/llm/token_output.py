@@ -18,6 +18,7 @@ number; repeated keys share a number and are ordered by their records; an empty
 table gives no shard and no row.
 """
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +84,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, key: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = BytePairs(*shared.value, summary=lambda ids: np.array(ids, id_type).tobytes())
+        code = "H" if id_type == "<u2" else "I"
+        pairs = BytePairs(*shared.value, summary=lambda ids: array(code, ids).tobytes())
         step = length * kind["ids"].base.itemsize
         for batch in batches:
             for start in range(0, len(batch), 512):
@@ -108,10 +110,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, key: str = "do
         for batch in batches:
             out = np.zeros(len(batch), kind)
             out["key"], out["place"], out["end"] = batch["key"], batch["place"], b"\n"
-            for k, body in enumerate(batch["body"]):
-                ids = np.frombuffer(body, id_type)
-                out["tokens"][k] = len(ids)
-                out["ids"][k, : len(ids)] = ids
+            step = length * kind["ids"].base.itemsize
+            out["tokens"] = [len(body) * length // step for body in batch["body"]]
+            out["ids"] = np.frombuffer(b"".join(body.ljust(step, b"\0") for body in batch["body"]), id_type).reshape(-1, length)
             raw = out.tobytes()
             yield pd.DataFrame({"shard": batch["shard"], "value": [raw[i : i + kind.itemsize - 1] for i in range(0, len(raw), kind.itemsize)]})
 
