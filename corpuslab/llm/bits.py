@@ -14,8 +14,8 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - TABLE_BITS}) % 32 as int))")
     words = hashes.select(F.floor(bit / 32).cast("int").alias("word"), one.alias("bit"))
     out = np.zeros(1 << (TABLE_BITS - 5), "<u4")
-    for word, bits in words.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
-        out[word] = bits
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
 

@@ -90,8 +90,8 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     counted = docs.select(text).mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = np.full(SIZE**3, 0.01)
     # The alphabet bounds what comes to the driver: at most SIZE ** 3 rows.
-    for gram, n in counted.toLocalIterator():
-        grams[gram] += n
+    found = counted.toArrow()
+    grams[found.column("gram").to_numpy()] += found.column("n").to_numpy()
     grams = grams.reshape(SIZE * SIZE, SIZE)
     return -np.log(grams / grams.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
 
