@@ -30,8 +30,8 @@ def test_stages(spark, tmp_path):
     good, single, clean, mixed, tokens = outputs
     failed = lambda t: (m := plain_measures(t))[0] < 10 or 100 * m[4] > 20 * m[0]
     assert not any(failed(r.text) for r in good)
-    verdicts = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
-    assert sorted(str(r.doc_id) for r in good) == sorted(str(r[0]) for r in data if verdicts[r[0]])
+    verdicts = {(r.doc_id, r.text): r.kept for r in quality.judge(docs).collect()}
+    assert sorted(str(r.doc_id) for r in good) == sorted(str(r[0]) for r in data if verdicts[r[:2]])
 
     rows_ = list(enumerate(good))
     groups = components({k: r.text for k, r in rows_})
