@@ -8,17 +8,21 @@ behind its placeholders, its slots: along one alignment of an item in a document
 slot value of the item must always become the same value. So a question asked with
 other numbers or names is found, and a chance mixture of templates is not.
 
+Items with too few template windows (short ones, and such with many slots) are looked for
+as a whole: one window of the item's own length, with the same check of slots.
+
 A bit table of fixed size made of the benchmark's windows lets tasks drop nearly all of
 a document's windows before anything is shuffled; it only ever lets too much pass.
 
-Defined cases: null and empty texts match nothing; items with fewer than WINDOW words
-cannot be told from chance and match nothing; repeated rows and items are each
+Defined cases: null and empty texts match nothing; items with fewer than LEAST_WHOLE
+canonical words (signs alone are none) cannot be told from chance and match nothing; a
+whole item with fewer than LEAST_TEMPLATE literal words matches as written only; repeated rows and items are each
 reported; documents are told apart by key and text, so a null key is no obstacle;
 extra columns stay; empty tables give no row.
 """
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +32,14 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.bits import bit_table, in_table
 from corpuslab.llm.columns import fresh
-from corpuslab.llm.words import CACHE_ENTRIES, text_batches, window_hashes
+from corpuslab.llm.words import CACHE_ENTRIES, FACTOR, mix, text_batches, window_hashes
 from corpuslab.storage import materialize
 
 WINDOW, LEAST_LITERAL = 8, 5
 #: Words of an item that must be found along one alignment (or the whole item, if shorter).
 LEAST_WORDS = 12
+#: Words that an item found as a whole has at least, and literal ones among them for other slot values to pass.
+LEAST_WHOLE, LEAST_TEMPLATE = 6, 3
 #: The benchmark's windows are broadcast up to this many; a larger benchmark is shuffled.
 BROADCAST_WINDOWS = 500_000
 
@@ -51,12 +57,13 @@ NUMBERS = (
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 LITERAL, NUM, UNIT, CAPITAL, EMPTY = 0, 1, 2, 4, 8
 ENDS = 16
+FLAGS = 31
 
 
 class Words(dict):
-    """Per written word its canonical hash and what it may be; remembered within a task."""
+    """Per written word its canonical hash, the lowest bits of which say what it may be; remembered within a task."""
 
-    def __missing__(self, raw: bytes) -> tuple[int, int]:
+    def __missing__(self, raw: bytes) -> int:
         word = raw.decode()
         core = word.strip(string.punctuation + "“”‘’«»…–—¿¡")
         low = core.lower()
@@ -67,22 +74,24 @@ class Words(dict):
             flags |= NUM
         else:
             flags |= UNIT * (low in UNITS) | CAPITAL * (core[0].isupper() and not core[1:].isupper())
-        value = xxhash.xxh3_64_intdigest(low.encode()), flags
+        value = xxhash.xxh3_64_intdigest(low.encode()) & ~FLAGS | flags
         if len(self) < CACHE_ENTRIES:
             self[raw] = value
         return value
 
 
-def template(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Of all words of the texts in a row: canonical hashes, placeholders, the text's number, the words."""
+def template(texts: list[str | None], words: Words) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[bytes]]:
+    """Of all words of the texts in a row: the readings (canonical hashes, placeholders), the text's number, the words.
+    The last reading is the words as written, without placeholders."""
     raw: list[bytes] = []
     owner = []
     for t in texts:
         found = (t or "").encode().split()
         raw += found
         owner.append(len(found))
-    table = np.array(list(map(words.__getitem__, raw)), np.uint64).reshape(-1, 2)
-    hashes, flags, owner = table[:, 0].copy(), table[:, 1].astype(np.int64), np.repeat(np.arange(len(texts)), owner)
+    packed = np.fromiter(map(words.__getitem__, raw), np.uint64, len(raw))
+    flags = (packed & np.uint64(FLAGS)).astype(np.int64)
+    hashes, owner = packed - flags.astype(np.uint64), np.repeat(np.arange(len(texts)), owner)
     first = np.ones(len(raw), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (flags[:-1] & ENDS > 0)
     use = flags & EMPTY == 0
@@ -90,74 +99,137 @@ def template(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndar
     after_number = np.zeros(len(flags), bool)
     after_number[1:] = (flags[:-1] & NUM > 0) & (owner[1:] == owner[:-1])
     slot = np.where(flags & NUM, NUM, np.where((flags & UNIT > 0) & after_number, UNIT, np.where((flags & CAPITAL > 0) & ~first, CAPITAL, LITERAL)))
-    hashes = np.where(slot == LITERAL, hashes, slot.astype(np.uint64))
-    return hashes, slot, owner, [w for w, u in zip(raw, use) if u]
+    readings = [(np.where(s == LITERAL, hashes, s.astype(np.uint64)), s) for s in (slot, np.zeros_like(slot))]
+    return readings, owner, [w for w, u in zip(raw, use) if u]
 
 
-def windows(texts: list[str | None], words: Words, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(text number, place of the first word in its text, hash, slot values) of the template windows in the table."""
-    hashes, slot, owner, raw = template(texts, words)
+def usable(hashes: np.ndarray, slot: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of WINDOW words, and which of them lie in one text with enough literal words."""
     at = window_hashes(hashes, WINDOW)
-    if not len(at):
-        return
     literal = np.concatenate([[0], np.cumsum(slot == LITERAL)])
-    fits = (owner[: len(at)] == owner[WINDOW - 1 :]) & (literal[WINDOW:] - literal[:-WINDOW] >= LEAST_LITERAL)
-    if wanted is not None:
-        fits &= in_table(wanted, at)
-    begins = np.searchsorted(owner, np.arange(len(texts)))
-    for k in np.flatnonzero(fits):
-        slots = [raw[j].decode().strip(string.punctuation).lower() for j in range(k, k + WINDOW) if slot[j] != LITERAL]
-        yield int(owner[k]), int(k - begins[owner[k]]), int(at[k].astype(np.int64)), slots
+    return at, (owner[: len(at)] == owner[WINDOW - 1 :][: len(at)]) & (literal[WINDOW:][: len(at)] - literal[: len(at)] >= LEAST_LITERAL)
+
+
+def whole_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, hashes) of the runs of each length, ascending, that end within their texts."""
+    out, read = hashes[starts], 1
+    for n in lengths:
+        inside = starts + n <= ends
+        starts, ends, out = starts[inside], ends[inside], out[inside]
+        if not len(starts):
+            return
+        for k in range(read, n):
+            out *= FACTOR
+            out += hashes[starts + k]
+        read = n
+        # Apart from the hashes of windows, which may be of the same words.
+        yield n, starts, mix(out + FACTOR)
+
+
+def slots(raw: list[bytes], slot: np.ndarray, start: int, n: int) -> list[str]:
+    return [raw[j].decode().strip(string.punctuation).lower() for j in range(start, start + n) if slot[j] != LITERAL]
+
+
+def item_windows(text: str | None, words: Words) -> Iterator[tuple]:
+    """ITEM_COLUMNS of an item: its template windows, and the item as a whole where these are too few."""
+    readings, owner, raw = template([text], words)
+    size, seen = len(raw), set()
+    cut = [usable(*r, owner) for r in readings[:-1]]
+    enough = int(cut[0][1].sum())
+    for (at, fits), (_, slot) in zip(cut, readings):
+        for k in np.flatnonzero(fits):
+            if (k, at[k]) not in seen:
+                seen.add((k, at[k]))
+                yield int(k), int(at[k].astype(np.int64)), slots(raw, slot, k, WINDOW), size, enough, False, None
+    if size < LEAST_WHOLE or enough >= LEAST_WORDS - WINDOW + 1:
+        return
+    told = [r for r in readings[:-1] if (r[1] == LITERAL).sum() >= LEAST_TEMPLATE]
+    for hashes, slot in told or readings[-1:]:
+        (_, _, value), = whole_hashes(hashes, np.zeros(1, int), np.full(1, size), [size])
+        if value[0] not in seen:
+            seen.add(value[0])
+            anchor = window_hashes(hashes[:LEAST_WHOLE], LEAST_WHOLE)[0]
+            yield 0, int(value[0].astype(np.int64)), slots(raw, slot, 0, size), size, enough, True, int(anchor.astype(np.int64))
+
+
+def windows(texts: list[str | None], words: Words, wanted: np.ndarray, anchors: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, int, int, list[str]]]:
+    """(text number, place of the first word in its text, hash, slot values) of the windows and whole items in the table `wanted`.
+    Whole items are looked for where their first LEAST_WHOLE words are in the table `anchors`."""
+    readings, owner, raw = template(texts, words)
+    begins = np.searchsorted(owner, np.arange(len(texts) + 1))
+    seen = set()
+    for no, (hashes, slot) in enumerate(readings):
+        found = []
+        if no < len(readings) - 1:
+            at, fits = usable(hashes, slot, owner)
+            starts = np.flatnonzero(fits & in_table(wanted, at))
+            found.append((WINDOW, starts, at[starts]))
+        if lengths:
+            at = window_hashes(hashes, LEAST_WHOLE)
+            starts = np.flatnonzero(in_table(anchors, at))
+            found += whole_hashes(hashes, starts, begins[owner[starts] + 1], lengths)
+        for n, starts, values in found:
+            for k, value in zip(starts, values):
+                if in_table(wanted, value) and (k, value) not in seen:
+                    seen.add((k, value))
+                    yield int(owner[k]), int(k - begins[owner[k]]), int(value.astype(np.int64)), slots(raw, slot, k, n)
 
 
 WINDOW_COLUMNS = "place int, hash long, slots array<string>"
+ITEM_COLUMNS = "_at int, hash long, _slots array<string>, _size int, _usable int, _whole boolean, _anchor long"
 
 
-def template_windows(rows: DataFrame, keys: list[str], wanted: np.ndarray | None = None, text: str = "text") -> DataFrame:
-    """Template windows of every text: the key columns and WINDOW_COLUMNS."""
+def cut_texts(rows: DataFrame, keys: list[str], text: str, columns: str, cut: Callable[[list, Words], Iterator[tuple]]) -> DataFrame:
+    """The key columns and `columns` for all that `cut` finds in texts: tuples of the text's number and the columns."""
     text_batches(rows.sparkSession)
     rows = rows.select(*keys, F.col(text).alias("_text"))
     types = ", ".join(f"`{k}` {t}" for k, t in rows.drop("_text").dtypes)
-    table = rows.sparkSession.sparkContext.broadcast(wanted)
+    names = [c.split()[0] for c in columns.split(", ")]
+    arrow = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = [arrow[c.split()[1]] for c in columns.split(", ")]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = list(windows(part.column("_text").to_pylist(), words, table.value))
+                found = list(cut(part.column("_text").to_pylist(), words))
                 if found:
-                    rows = pa.array([f[0] for f in found])
+                    owner, *values = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(k).take(rows) for k in keys]
-                        + [pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.list_(pa.string()))],
-                        [*keys, "place", "hash", "slots"])
+                        [part.column(k).take(pa.array(owner)) for k in keys] + [pa.array(v, t) for v, t in zip(values, kinds)], [*keys, *names])
 
-    return rows.mapInArrow(cut, f"{types}, {WINDOW_COLUMNS}")
+    return rows.mapInArrow(run, f"{types}, {columns}")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item found in it: key, _row (tells documents apart), item,
     n_words (found along the best alignment), exact (no slot differs there), occurrences."""
-    items = materialize(template_windows(benchmark, [item], text=text), "benchmark-windows")
-    items = items.withColumnsRenamed({"place": "_at", "slots": "_slots"})
+    items = materialize(
+        cut_texts(benchmark, [item], text, ITEM_COLUMNS, lambda texts, words: ((k, *w) for k, t in enumerate(texts) for w in item_windows(t, words))),
+        "benchmark-windows")
     docs = docs.select(F.col(key), F.xxhash64(key, text).alias("_row"), text)
-    hits = template_windows(docs, [key, "_row"], bit_table(items), text)
-    sizes = benchmark.select(F.col(item).alias("_i"), F.size(F.split(F.trim(text), r"\s+")).alias("_size")).groupBy("_i").agg(F.max("_size").alias("_size"))
-    items = items.join(sizes, F.col(item).eqNullSafe(F.col("_i"))).drop("_i")
+    whole = items.where("_whole")
+    # Distinct lengths: fewer than the square root of twice the words of the benchmark.
+    lengths = sorted(r[0] for r in whole.select("_size").distinct().collect())
+    tables = docs.sparkSession.sparkContext.broadcast((bit_table(items), bit_table(whole.select(F.col("_anchor").alias("hash")))))
+    hits = cut_texts(docs, [key, "_row"], text, WINDOW_COLUMNS, lambda texts, words: windows(texts, words, *tables.value, lengths))
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
     pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
     along = (
         hits.join(items, "hash").where(F.size("slots") == F.size("_slots"))
-        .groupBy(key, "_row", item, (F.col("place") - F.col("_at")).alias("_line"))
-        .agg(F.countDistinct("_at").alias("n"), F.first("_size").alias("_size"),
+        .groupBy(key, "_row", item, "_size", "_usable", (F.col("place") - F.col("_at")).alias("_line"))
+        .agg(F.collect_set(F.when(~F.col("_whole"), F.col("_at"))).alias("_found"), F.max("_whole").alias("_whole"),
              F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
     consistent = F.size(values) == F.size("pairs")
-    n_words = F.col("n") + WINDOW - 1
-    enough = n_words >= F.least(F.lit(LEAST_WORDS), F.col("_size"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("_found", lambda a: F.sequence(a, a + (WINDOW - 1))))))
+    n_words = F.when(F.col("_whole"), F.col("_size")).otherwise(covered)
+    # An item's windows with too few literal words cannot be found, so they are not asked for.
+    enough = (n_words >= F.least(F.lit(LEAST_WORDS), F.col("_size"))) & (
+        F.col("_whole") | (F.size("_found") >= F.least(F.lit(LEAST_WORDS - WINDOW + 1), F.col("_usable"))))
     exact = ~F.exists("pairs", lambda p: p["a"] != p["b"])
     return along.where(consistent & enough).groupBy(key, "_row", item).agg(
         F.max(n_words).cast("int").alias("n_words"), F.max(exact).alias("exact"), F.count("*").cast("int").alias("occurrences"))

@@ -99,6 +99,25 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert {r.doc_id for r in got.collect()} == {1, 3}
 
 
+def test_short_items_and_items_full_of_slots_are_found(spark):
+    items = [
+        "Tom has 12 apples, Anna has 9 pears and Ben 4 plums.", "What is the capital city of France and Spain ?", "How many legs do spiders have?",
+        "What is 12 times 7 plus 30 ?", "12 + 7 - 30 * 4 = 5 + 91",
+        "Add 3 and 4 and 5 and 6 and 7 and 8 to 9, 10 and 11, then tell the sum of all of them to the whole class.",
+    ]
+    other = [
+        "Tom has 40 apples, Maria has 3 pears and Max 7 plums.", "What is the capital city of Ghana and Peru ?", None,
+        "What is 5 times 6 plus 2 ?", None, items[5].replace("11", "14"),
+    ]
+    wrong = ["Tom has 12 apples, Anna has 9 pears and Ben 4 pies.", None, "How many legs do insects have?", None, "12 + 7 - 30 * 4 = 5 + 92", None]
+    docs = [(100 * j + k, f"Some words before. {t} Some words behind it.") for j, part in enumerate([items, other, wrong]) for k, t in enumerate(part) if t]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert set(got) == {(k, k % 100) for k, _ in docs if k < 200}
+    assert all(r.exact == (k < 100) for (k, _), r in got.items())
+    assert got[(0, 0)].n_words == 12 and got[(1, 1)].n_words == 9
+
+
 @pytest.mark.skipif(not duckdb.sql(f"select * from glob('{SF}/*.parquet')").fetchall(), reason="driver tables not present")
 def test_benchmark_passages_are_found(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
