@@ -2,7 +2,9 @@
 
 Words are canonical: lower case without outer punctuation; numbers, units after a
 number and names (capitalised inside a sentence) become typed placeholders. Windows of
-WINDOW canonical words with at least LEAST_LITERAL literal ones are template windows.
+WINDOW canonical words with at least LEAST_LITERAL literal ones are template windows. Casing tells
+names only in some texts, so windows are also cut from a case-folded reading without names,
+and from one in which line feeds end sentences; a match in any reading counts.
 Benchmark and documents meet in a hash join of these windows. A hit keeps the words
 behind its placeholders, its slots: along one alignment of an item in a document each
 slot value of the item must always become the same value. So a question asked with
@@ -82,24 +84,31 @@ class Words(dict):
 
 def template(texts: list[str | None], words: Words) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[bytes]]:
     """Of all words of the texts in a row: the readings (canonical hashes, placeholders), the text's number, the words.
-    The last reading is the words as written, without placeholders."""
+    The readings: names by casing, where a line's first word is no name; the same where it may be one; case-folded
+    with numbers and units as the only placeholders; and the words as written, without placeholders."""
     raw: list[bytes] = []
-    owner = []
+    owner, lines = [], []
     for t in texts:
-        found = (t or "").encode().split()
-        raw += found
-        owner.append(len(found))
+        before = len(raw)
+        for line in (t or "").encode().split(b"\n"):
+            lines.append(len(raw))
+            raw += line.split()
+        owner.append(len(raw) - before)
     packed = np.fromiter(map(words.__getitem__, raw), np.uint64, len(raw))
     flags = (packed & np.uint64(FLAGS)).astype(np.int64)
     hashes, owner = packed - flags.astype(np.uint64), np.repeat(np.arange(len(texts)), owner)
     first = np.ones(len(raw), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (flags[:-1] & ENDS > 0)
+    # A line feed may end a sentence or only wrap one.
+    opens = first.copy()
+    opens[[k for k in lines if k < len(raw)]] = True
     use = flags & EMPTY == 0
-    hashes, flags, owner, first = hashes[use], flags[use], owner[use], first[use]
+    hashes, flags, owner, first, opens = hashes[use], flags[use], owner[use], first[use], opens[use]
     after_number = np.zeros(len(flags), bool)
     after_number[1:] = (flags[:-1] & NUM > 0) & (owner[1:] == owner[:-1])
-    slot = np.where(flags & NUM, NUM, np.where((flags & UNIT > 0) & after_number, UNIT, np.where((flags & CAPITAL > 0) & ~first, CAPITAL, LITERAL)))
-    readings = [(np.where(s == LITERAL, hashes, s.astype(np.uint64)), s) for s in (slot, np.zeros_like(slot))]
+    folded = np.where(flags & NUM, NUM, np.where((flags & UNIT > 0) & after_number, UNIT, LITERAL))
+    named = [np.where((folded == LITERAL) & (flags & CAPITAL > 0) & ~begins, CAPITAL, folded) for begins in (opens, first)]
+    readings = [(np.where(s == LITERAL, hashes, s.astype(np.uint64)), s) for s in (*named, folded, np.zeros_like(folded))]
     return readings, owner, [w for w, u in zip(raw, use) if u]
 
 
@@ -135,13 +144,14 @@ def item_windows(text: str | None, words: Words) -> Iterator[tuple]:
     readings, owner, raw = template([text], words)
     size, seen = len(raw), set()
     cut = [usable(*r, owner) for r in readings[:-1]]
-    enough = int(cut[0][1].sum())
-    for (at, fits), (_, slot) in zip(cut, readings):
+    *named, folded = (int(fits.sum()) for _, fits in cut)
+    counts = max(1, min(named)), folded
+    for no, ((at, fits), (_, slot)) in enumerate(zip(cut, readings)):
         for k in np.flatnonzero(fits):
             if (k, at[k]) not in seen:
                 seen.add((k, at[k]))
-                yield int(k), int(at[k].astype(np.int64)), slots(raw, slot, k, WINDOW), size, enough, False, None
-    if size < LEAST_WHOLE or enough >= LEAST_WORDS - WINDOW + 1:
+                yield int(k), int(at[k].astype(np.int64)), slots(raw, slot, k, WINDOW), size, *counts, no < len(named), False, None
+    if size < LEAST_WHOLE or min(named) >= LEAST_WORDS - WINDOW + 1:
         return
     told = [r for r in readings[:-1] if (r[1] == LITERAL).sum() >= LEAST_TEMPLATE]
     for hashes, slot in told or readings[-1:]:
@@ -149,7 +159,7 @@ def item_windows(text: str | None, words: Words) -> Iterator[tuple]:
         if value[0] not in seen:
             seen.add(value[0])
             anchor = window_hashes(hashes[:LEAST_WHOLE], LEAST_WHOLE)[0]
-            yield 0, int(value[0].astype(np.int64)), slots(raw, slot, 0, size), size, enough, True, int(anchor.astype(np.int64))
+            yield 0, int(value[0].astype(np.int64)), slots(raw, slot, 0, size), size, *counts, True, True, int(anchor.astype(np.int64))
 
 
 def windows(texts: list[str | None], words: Words, wanted: np.ndarray, anchors: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, int, int, list[str]]]:
@@ -176,7 +186,7 @@ def windows(texts: list[str | None], words: Words, wanted: np.ndarray, anchors:
 
 
 WINDOW_COLUMNS = "place int, hash long, slots array<string>"
-ITEM_COLUMNS = "_at int, hash long, _slots array<string>, _size int, _usable int, _whole boolean, _anchor long"
+ITEM_COLUMNS = "_at int, hash long, _slots array<string>, _size int, _usable_named int, _usable int, _named boolean, _whole boolean, _anchor long"
 
 
 def cut_texts(rows: DataFrame, keys: list[str], text: str, columns: str, cut: Callable[[list, Words], Iterator[tuple]]) -> DataFrame:
@@ -219,8 +229,9 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
     pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
     along = (
         hits.join(items, "hash").where(F.size("slots") == F.size("_slots"))
-        .groupBy(key, "_row", item, "_size", "_usable", (F.col("place") - F.col("_at")).alias("_line"))
-        .agg(F.collect_set(F.when(~F.col("_whole"), F.col("_at"))).alias("_found"), F.max("_whole").alias("_whole"),
+        .groupBy(key, "_row", item, "_size", "_usable_named", "_usable", (F.col("place") - F.col("_at")).alias("_line"))
+        .agg(F.collect_set(F.when(~F.col("_whole"), F.col("_at"))).alias("_found"),
+             F.collect_set(F.when(~F.col("_whole") & F.col("_named"), F.col("_at"))).alias("_found_named"), F.max("_whole").alias("_whole"),
              F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
@@ -228,8 +239,9 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
     covered = F.size(F.array_distinct(F.flatten(F.transform("_found", lambda a: F.sequence(a, a + (WINDOW - 1))))))
     n_words = F.when(F.col("_whole"), F.col("_size")).otherwise(covered)
     # An item's windows with too few literal words cannot be found, so they are not asked for.
+    all_of = lambda found, usable: F.size(found) >= F.least(F.lit(LEAST_WORDS - WINDOW + 1), F.col(usable))
     enough = (n_words >= F.least(F.lit(LEAST_WORDS), F.col("_size"))) & (
-        F.col("_whole") | (F.size("_found") >= F.least(F.lit(LEAST_WORDS - WINDOW + 1), F.col("_usable"))))
+        F.col("_whole") | all_of("_found", "_usable") | all_of("_found_named", "_usable_named"))
     exact = ~F.exists("pairs", lambda p: p["a"] != p["b"])
     return along.where(consistent & enough).groupBy(key, "_row", item).agg(
         F.max(n_words).cast("int").alias("n_words"), F.max(exact).alias("exact"), F.count("*").cast("int").alias("occurrences"))

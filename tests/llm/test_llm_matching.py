@@ -118,6 +118,18 @@ def test_short_items_and_items_full_of_slots_are_found(spark):
     assert got[(0, 0)].n_words == 12 and got[(1, 1)].n_words == 9
 
 
+def test_items_in_other_casing_and_after_bare_lines_are_found(spark):
+    german = "Der Bauer bringt Milch, Butter, Mehl und Eier zum Markt und kauft dort Wolle, Stoff und Garn."
+    short = "Tom gives 5 apples to Anna and then walks home."
+    benchmark = spark.createDataFrame([(1, ITEM), (2, german), (3, short)], "item_id long, text string")
+    changed = [ITEM, german, short.replace("5", "8").replace("Anna", "Maria")]
+    texts = [f(t) for t in (ITEM, german, short) for f in (str.lower, str.upper, str.title)] + ["A heading\n" + t for t in changed]
+    texts += [short.replace("5", "8").replace("to Anna", "to\nMaria")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find(docs, benchmark).collect()}
+    assert got == {(k, 1 + k // 3) for k in range(9)} | {(9, 1), (10, 2), (11, 3), (12, 3)}
+
+
 @pytest.mark.skipif(not duckdb.sql(f"select * from glob('{SF}/*.parquet')").fetchall(), reason="driver tables not present")
 def test_benchmark_passages_are_found(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
