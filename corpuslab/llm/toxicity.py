@@ -4,7 +4,9 @@ A character trigram model is counted over the words of all documents. A token th
 be disguised (digits or signs between letters, letters repeated three times or more,
 letters set apart by signs, single letters in a row) becomes a lattice: each place may
 be what is written, what the writing stands for, or a repetition of the place before.
-Viterbi decoding takes the path with the best sum of model and channel costs. Plain
+Viterbi decoding takes the path with the best sum of model and channel costs. In letters
+set apart one by one, words may also end at each place. Tokens and rows of any length are
+decoded, in linear time. Plain
 words stay as they are. Restored texts are scored by a lexicon: words whose share of
 toxic training documents exceeds their share of clean ones beyond chance, combined with
 absent words as independent evidence (Bernoulli naive Bayes).
@@ -43,11 +45,18 @@ STANDS_FOR = {
 #: Channel costs in nats: a sign read as a letter, a sign dropped, a repetition dropped, a sign kept.
 READ, DROPPED, REPEATED, KEPT = 1.0, 3.0, 0.5, 8.0
 
+#: Characters of a token that a task remembers; it bounds memory, not results.
+LONGEST_KEPT = 200
+
 #: The model's alphabet: 0 is the word border, 1..26 a-z, others share 31 hashed symbols.
 SIZE = 64
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_~`…“”‘’«»¿¡=/\\^"
-INNER = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+€£(*#]+[^\w\s]*[^\W\d_]|[0-9@$!|+€£(]+[^\W\d_]{2,}|[^\W\d_]{2,}[0-9@$!|+€£(]+|(\w)\1\1")
+LETTER = r"[^\W\d_]"
+#: What makes a token look disguised; each pattern reads a token of any length in linear time.
+BESIDE = re.compile(rf"[0-9@$!|+€£(]{LETTER}{{2}}|{LETTER}{{2}}[0-9@$!|+€£(]|(\w)\1\1")
+BETWEEN = re.compile(rf"(?<={LETTER})(?:[^\w\s]|[0-9])++(?={LETTER})")
+SIGNS, DIGITS = re.compile(r"[0-9@$!|+€£(*#]+"), re.compile(r"[0-9](?:.*[0-9])?", re.DOTALL)
 APART = re.compile(r"(?:[^\W_][.\-_*~/]+){2,}[^\W_]")
 
 
@@ -96,78 +105,117 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(grams / grams.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
 
 
+def disguised(written: str) -> bool:
+    """Signs or digits beside letters, or letters repeated three times or more."""
+    if BESIDE.search(written):
+        return True
+    for gap in BETWEEN.findall(written):
+        digits = DIGITS.search(gap)
+        if SIGNS.fullmatch(digits[0]) if digits else SIGNS.search(gap):
+            return True
+    return False
+
+
+def single(word: str) -> str:
+    """A repetition may be meant: both readings of double letters are kept."""
+    return re.sub(r"(\w)\1+", r"\1", word)
+
+
 class Channel(dict):
     """Restored words of a token, remembered within a task."""
 
     def __init__(self, model: np.ndarray):
         super().__init__()
-        self.model = model
+        self.model = model.tolist()
 
-    def decode(self, written: str) -> str:
-        """The best path through the lattice of a lower-case token."""
-        model = self.model
-        # State: the last two symbols -> (cost, restored text, last character written).
-        states = {(0, 0): (0.0, "", "")}
+    def decode(self, written: str, borders: bool = False) -> str:
+        """The best path through the lattice of lower-case writing; with `borders` a word may end at each place."""
+        model, last = self.model, ""
+        # State: the last two symbols -> (cost, restored text as back-pointers). The alphabet bounds their number.
+        states: dict[int, tuple] = {0: (0.0, None)}
         for c in written:
+            if borders:
+                ended = [(cost + model[ab * SIZE], path) for ab, (cost, path) in states.items() if ab]
+                if ended:
+                    cost, path = min(ended, key=lambda e: e[0])
+                    if 0 not in states or cost < states[0][0]:
+                        states[0] = (cost, (path, " "))
             options: list[tuple[str, float]] = []
             if c.isalpha():
                 options.append((c, 0.0))
             else:
                 options += [(r, READ) for r in STANDS_FOR.get(c, "")]
                 options += [("", DROPPED), (c, KEPT)]
-            following: dict = {}
-            for (a, b), (cost, text, last) in states.items():
-                for r, extra in [*options, *([("", REPEATED)] if c == last else [])]:
+            if c == last:
+                options.append(("", REPEATED))
+            last = c
+            steps = [(r, symbol(r) if r else 0, extra) for r, extra in options]
+            following: dict[int, tuple] = {}
+            for ab, (cost, path) in states.items():
+                for r, s, extra in steps:
                     if r:
-                        s = symbol(r)
-                        state, price = (b, s), cost + extra + float(model[(a * SIZE + b) * SIZE + s])
+                        gram = ab * SIZE + s
+                        state, price = gram % (SIZE * SIZE), cost + extra + model[gram]
                     else:
-                        state, price = (a, b), cost + extra
+                        state, price = ab, cost + extra
                     if state not in following or price < following[state][0]:
-                        following[state] = (price, text + r, c)
+                        following[state] = (price, (path, r) if r else path)
             states = following
-        return min((cost + float(model[(a * SIZE + b) * SIZE]), text) for (a, b), (cost, text, _) in states.items())[1]
+        costs = {ab: cost + model[ab * SIZE] for ab, (cost, _) in states.items()}
+        least = min(costs.values())
+        return min(self.spelled(states[ab][1]) for ab, cost in costs.items() if cost == least)
+
+    @staticmethod
+    def spelled(path: tuple | None) -> str:
+        out = []
+        while path:
+            path, r = path
+            out.append(r)
+        return "".join(reversed(out))
+
+    def row(self, joined: str) -> set[str]:
+        """Words of letters that were set apart one by one: those of the restored row, and all runs in it and in the row as written."""
+        low = joined.lower()
+        words = self.decode(low, borders=True).split()
+        out = {form for w in words for form in (w, single(w))}
+        for text in {low, "".join(words)}:
+            out.update(text[i:j] for i in range(len(text)) for j in range(i + 3, min(len(text), i + 20) + 1))
+        return out
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         low = token.lower()
         core = low.strip(PUNCTUATION)
         forms = {core}
-        if len(core) <= 40:
-            if APART.fullmatch(core):
-                core = re.sub(r"[.\-_*~/]+", "", core)
-                forms.add(core)
-            for written in {core, low.strip(".,;:?\"'")}:
-                if INNER.search(written) and len(written) <= 40:
-                    restored = self.decode(written)
-                    # A repetition may be meant: both readings of double letters are kept.
-                    forms |= {restored, re.sub(r"(\w)\1+", r"\1", restored)}
+        if APART.fullmatch(core):
+            core = re.sub(r"[.\-_*~/]+", "", core)
+            forms |= {core} | self.row(core)
+        for written in {core, low.strip(".,;:?\"'")}:
+            if disguised(written):
+                restored = self.decode(written)
+                forms |= {restored, single(restored)}
         forms.discard("")
         value = tuple(forms)
-        if len(self) < CACHE_ENTRIES:
+        if len(self) < CACHE_ENTRIES and len(token) <= LONGEST_KEPT:
             self[token] = value
         return value
 
     def words(self, text: str | None) -> set[str]:
         """The restored words of a text."""
         tokens = (text or "").split()
-        kinds = set(tokens)
         out: set[str] = set()
-        for token in kinds:
+        for token in set(tokens):
             out.update(self[token])
         # Single letters in a row are read together.
-        if sum(len(t) == 1 for t in kinds) >= 3:
-            row: list[str] = []
-            for token in [*tokens, "  "]:
-                if len(token) == 1 and token.isalnum() or len(token) == 1 and token in STANDS_FOR:
-                    row.append(token)
-                    continue
-                if len(row) >= 3:
-                    joined = "".join(row)
-                    out.update(self[joined])
-                    # Words may follow each other: every run inside a bounded row is tried.
-                    if len(row) <= 60:
-                        out.update(joined[i:j].lower() for i in range(len(row)) for j in range(i + 3, min(len(row), i + 20) + 1))
-                row = []
+        row: list[str] = []
+        for token in [*tokens, "  "]:
+            if len(token) == 1 and (token.isalnum() or token in STANDS_FOR):
+                row.append(token)
+                continue
+            if len(row) >= 3:
+                joined = "".join(row)
+                out.update(self[joined])
+                out |= self.row(joined)
+            row = []
         return out
 
 

@@ -219,6 +219,31 @@ def test_disguised_words_are_restored(spark):
     assert channel.words(None) == set() and channel.words("") == set()
 
 
+def test_disguised_words_of_any_length_are_restored(spark):
+    docs = spark.createDataFrame([(sentence(__import__("random").Random(k), 30) + " you are a worthless stupid idiot and trash",) for k in range(50)], "text string")
+    channel = toxicity.Channel(toxicity.language_model(docs))
+    assert "stupid" in channel.words("st" + "u" * 60 + "pid")
+    assert "stupid" in channel.words("so s.t.u.p.1.d." + ".".join("rivermarketletterwinterengine" * 2))
+    assert "idiot" in channel.words("y o u i d 1 0 t")
+    row = channel.words(" ".join("riverandmarketandletterandwinterandengineandyouarest*p1dandgardenandbridge"))
+    assert {"stupid", "garden"} <= row
+    assert "ass" in channel.words("an a s s here")
+    # Long tokens end in linear time.
+    for long in ("ab" * 50_000, "a" + "(" * 20_000, "a1" * 5_000, "a" + "1.(" * 2_000 + "b"):
+        assert long.strip(toxicity.PUNCTUATION) in channel.words(long)
+
+
+def test_disguise_is_told_as_by_one_pattern():
+    import random
+
+    letter, signs = r"[^\W\d_]", "0-9@$!|+€£("
+    pattern = re.compile(rf"{letter}[^\w\s]*[{signs}*#]+[^\w\s]*{letter}|[{signs}]+{letter}{{2,}}|{letter}{{2,}}[{signs}]+|(\w)\1\1")
+    rng = random.Random(2)
+    for _ in range(20_000):
+        written = "".join(rng.choices("abé_.-*#(1٣7@", k=rng.randint(0, 9)))
+        assert toxicity.disguised(written) == bool(pattern.search(written)), written
+
+
 def test_toxicity_on_held_out_rows(spark):
     import random
 
