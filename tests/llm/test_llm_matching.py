@@ -154,6 +154,22 @@ def test_licenses_need_the_wording(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_license_notices_are_confirmed(spark):
+    gpl = (" * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n")
+    texts = {
+        1: "/*\n" + gpl.format(3) + " */\nint main;", 2: gpl.format(2),
+        3: "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this file,\n// You can obtain one.",
+        4: "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appear.",
+        5: "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in it without restriction.",
+        6: gpl.format(4), 7: "This Source Code Form is subject to the terms of the Mozilla Public\n\nLicense, v. 2.0.",
+    }
+    found = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    confirmed = {(r.doc_id, r.template) for r in found if r.confirmed}
+    assert confirmed == {(1, "GPL-3.0 header"), (2, "GPL-2.0 header"), (3, "MPL-2.0"), (4, "ISC"), (5, "MIT text")}
+    assert all(texts[r.doc_id][r.start : r.end] == r.block for r in found)
+
+
 KEYWORD = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
 PATTERNS = [
     ("assign", re.compile(KEYWORD + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+")),
