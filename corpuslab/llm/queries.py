@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontamination, jaccard_join, licenses, mixing, quality, secrets, token_counts, token_output, toxicity, url_filter
+from corpuslab.llm import decontamination, fill_middle, jaccard_join, licenses, mixing, quality, secrets, token_counts, token_output, toxicity, url_filter
 from corpuslab.llm.words import word_count
 from corpuslab.storage import materialize
 
@@ -103,3 +103,12 @@ def op6_toxicity(spark, sf):
 @query
 def op5_jaccard_join(spark, sf):
     return jaccard_join.join(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_fill_middle(spark, sf):
+    made = fill_middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
