@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontamination, fill_middle, jaccard_join, licenses, mixing, quality, secrets, token_counts, token_output, toxicity, url_filter
+from corpuslab.llm import decontamination, fill_middle, jaccard_join, licenses, mixing, quality, secrets, token_counts, token_output, toxicity, url_filter, whitening
 from corpuslab.llm.words import word_count
 from corpuslab.storage import materialize
 
@@ -112,3 +112,8 @@ def op12_fill_middle(spark, sf):
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+@query
+def op11_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
