@@ -5,14 +5,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontamination, fill_middle, jaccard_join, licenses, mixing, quality, secrets, token_counts, token_output, toxicity, url_filter, whitening
+from corpuslab.llm import decontamination, fill_middle, jaccard_join, licenses, mixing, packing, quality, secrets, token_counts, token_output, toxicity, url_filter, whitening
 from corpuslab.llm.words import word_count
 from corpuslab.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 #: The url rules.
 URL_RULES = [
@@ -117,3 +117,9 @@ def op12_fill_middle(spark, sf):
 @query
 def op11_whitening(spark, sf):
     return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_packing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(WORD_TOKENIZER)).rows("doc_id")
