@@ -10,19 +10,15 @@ to end instead and cut anew at every `size` tokens; only the last of those is pa
 
 Tokenising runs once: the pieces with their ids are written, the layout is made from their
 lengths alone, and ids are only read again where a piece is cut. A text is cut at white space,
-which no token of such a tokenizer crosses, each distinct word of a batch goes to the library
-once, and numpy puts the ids of the words in text order.
+which no token of such a tokenizer crosses, the distinct words of a batch are merged together
+(word_merges.py), and numpy puts the ids of the words in text order.
 
 Defined cases: a null or empty text is the end id alone; a null key is kept; repeated rows are
 packed one by one; columns other than key and text are ignored; an empty table gives no row.
 """
-import json
-import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm import cutting_stock
+from corpuslab.llm.word_merges import WordIds, checked, word_ids
 from corpuslab.llm.words import text_batches
 from corpuslab.storage import materialize, scratch_path
 
@@ -40,87 +37,29 @@ SIZE, END_ID = 2048, 1
 #: Sequences that lack at most so many tokens are padded rather than cut.
 SLACK = 8
 
-#: Bytes of a text that are tokenised at a time, and words that a worker remembers; they bound memory, not results.
-SLICE_BYTES, REMEMBERED, REMEMBERED_CHARS = 4 << 20, 250_000, 64
+#: Bytes of a text that are tokenised at a time; it bounds memory, not results.
+SLICE_BYTES = 4 << 20
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 PIECES = "part int, place long, key long, start long, length int, rank long, ids binary, ids_crc32 long, doc_tokens long"
 
 
-def checked(tokenizer_json: str) -> str:
-    """The file's text; raises unless no token of it can cross ASCII white space."""
-    spec = json.loads(tokenizer_json)
-    known = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
-    parts = spec["normalizer"]["normalizers"] if (spec["normalizer"] or {}).get("type") == "Sequence" else [spec["normalizer"]] if spec["normalizer"] else []
-    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
-    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-    dropped = pre[0].get("type") == "Split" and pre[0].get("invert") and pre[0].get("behavior") == "Removed" and r"[^\s" in pre[0]["pattern"].get("Regex", "")
-    special = any(c.isspace() for t in spec["added_tokens"] for c in t["content"]) or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-    if special or spec["post_processor"] or not dropped or not all(p["type"] in known or p == spaces for p in parts):
-        raise ValueError("not a tokenizer whose words end at white space")
-    return tokenizer_json
-
-
-class WordIds:
-    """Token ids of texts, by way of their distinct words."""
-
-    def __init__(self, tokenizer_json: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {}
-
-    def words(self, distinct: list[str]) -> list[list[int]]:
-        found = list(map(self.known.get, distinct))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        if new:
-            for k, encoding in zip(new, self.tokenizer.encode_batch_fast([distinct[k] for k in new], add_special_tokens=False)):
-                found[k] = encoding.ids
-                if len(self.known) < REMEMBERED and len(distinct[k]) <= REMEMBERED_CHARS:
-                    self.known[distinct[k]] = encoding.ids
-        return found
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, bounds: text k has ids[bounds[k]:bounds[k + 1]])"""
-        lists = pc.ascii_split_whitespace(texts)
-        words = lists.flatten().dictionary_encode()
-        ids = self.words(words.dictionary.to_pylist())
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        at = words.indices.to_numpy()
-        each = counts[at]
-        ends = np.cumsum(each)
-        # The k-th id of a word lies k behind the first one of its distinct word.
-        shift = (np.cumsum(counts) - counts)[at] - (ends - each)
-        out = flat[np.repeat(shift, each) + np.arange(int(each.sum()))]
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return out, bounds
-
-    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text. Long texts are cut at white space, so that their words fit in memory."""
-        sizes = pc.binary_length(texts).to_numpy()
-        if sizes.max(initial=0) <= SLICE_BYTES:
-            ids, bounds = self.encode(texts)
-            yield from (ids[a:b] for a, b in zip(bounds, bounds[1:]))
-            return
-        for k, size in enumerate(sizes.tolist()):
-            raw, parts, at = texts[k].as_py().encode(), [], 0
-            while at < size:
-                found = SPACE.search(raw, at + SLICE_BYTES)
-                to = found.start() if found else size
-                parts.append(self.encode(pa.array([raw[at:to].decode()]))[0])
-                at = to
-            yield np.concatenate(parts) if parts else np.empty(0, np.uint32)
-
-
-@lru_cache(maxsize=1)
-def word_ids(tokenizer_json: str) -> WordIds:
-    """One for all tasks of a worker."""
-    return WordIds(tokenizer_json)
+def ids_of(reader: WordIds, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each text. Long texts are cut at white space, so that their words fit in memory."""
+    sizes = pc.binary_length(texts).to_numpy()
+    if sizes.max(initial=0) <= SLICE_BYTES:
+        ids, bounds = reader.encode(texts)
+        yield from (ids[a:b] for a, b in zip(bounds, bounds[1:]))
+        return
+    for k, size in enumerate(sizes.tolist()):
+        raw, parts, at = texts[k].as_py().encode(), [], 0
+        while at < size:
+            found = SPACE.search(raw, at + SLICE_BYTES)
+            to = found.start() if found else size
+            parts.append(reader.encode(pa.array([raw[at:to].decode()]))[0])
+            at = to
+        yield np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -141,7 +80,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: st
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, held = [], 0
-            for doc, ids in zip(batch.column(0).to_pylist(), reader.texts(batch.column(1))):
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(reader, batch.column(1))):
                 raw, tokens = ids.astype("<u4", copy=False).tobytes() + end, len(ids) + 1
                 for start in range(0, tokens, size):
                     body = raw[4 * start : 4 * (start + size)]

@@ -11,7 +11,7 @@ import pytest
 from cases import empty, frame, rows
 from tokenizers import Tokenizer
 
-from corpuslab.llm import cutting_stock, packing
+from corpuslab.llm import cutting_stock, packing, word_merges
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,14 +27,30 @@ def brute_ids(tokenizer, text):
 
 def test_ids_equal_the_library(tokenizer, monkeypatch):
     rng = random.Random(2)
-    signs = list("aB é́  \x1c\x85\t\n\r,.'’1²٣中文İΣςǅ​😀") + ["<|endoftext|>", "<|startoftext|>", "'S", "'ll", "가", "  ", "Å"]
+    signs = list("aB é́  \x1c\x85\t\n\r,.'’1²٣中文İΣςǅ​😀") + ["<|endoftext|>", "<|startoftext|>", "'S", "'ll", "가", "  ", "Å"]
+    plain = list("aabcdeghilmnorstuABCÉéèñßØŁǅȺıſ 0123456789.,!?-<|>_\n")
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 200))) for _ in range(500)]
-    texts += ["", " ", "a", "x" * 50_000, "word " * 5000, " a <|endoftext|>b"]
-    reader = packing.WordIds(open(PATH, encoding="utf-8").read())
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 400))) for _ in range(1500)]
+    texts += ["".join(rng.choice("thequickbrownfox") for _ in range(k)) for k in range(90)]
+    texts += ["", " ", "a", "x" * 50_000, "word " * 5000, " a <|endoftext|>b", "the" * 14, "é" * 20, "é" * 21]
+    reader = word_merges.WordIds(word_merges.checked(open(PATH, encoding="utf-8").read()))
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [ids.tolist() for ids in reader.texts(pa.array(texts))] == want
+    assert [ids.tolist() for ids in packing.ids_of(reader, pa.array(texts))] == want
+    assert [ids.tolist() for ids in packing.ids_of(reader, pa.array(["x", *texts])[1:])] == want
     monkeypatch.setattr(packing, "SLICE_BYTES", 64)
-    assert [ids.tolist() for ids in reader.texts(pa.array(texts))] == want
+    assert [ids.tolist() for ids in packing.ids_of(reader, pa.array(texts))] == want
+
+
+def test_every_letter_of_the_tables(tokenizer):
+    """Lower case and class of each character that the tables know are the library's."""
+    reader = word_merges.WordIds(open(PATH, encoding="utf-8").read())
+    texts = [f"a{chr(c)}b 1{chr(c)}! {chr(c)}{chr(c)}" for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))]
+    assert [ids.tolist() for ids in packing.ids_of(reader, pa.array(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        word_merges.checked(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
 
 
 def verify(packed, data, tokenizer, size=2048, slack=packing.SLACK):
