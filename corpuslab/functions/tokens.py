@@ -49,7 +49,7 @@ def english_stop_words() -> list[str]:
 
 def stop_words(library: Sequence[str] | None = None) -> list[str]:
     base = english_stop_words() if library is None else library
-    return sorted({*base, *K.DOMAIN_STOP_WORDS, *K.LETTER_STOP_WORDS})
+    return sorted({*base, *K.DOMAIN_STOP_WORDS})
 
 
 def is_content_word(word: Column, stop: Sequence[str]) -> Column:

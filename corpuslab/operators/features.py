@@ -1,44 +1,118 @@
-"""Vocabulary, TF-IDF and document vectors."""
-from collections.abc import Sequence
-
+"""Vocabulary and TF-IDF.
+
+Texts are tokenised by Spark, once, into a written table. Tasks then number the words of a batch
+and count grams as numbers, several documents at a time.
+
+A vocabulary takes two passes over the tokens. In the first, each task keeps a summary of the
+grams that many of its documents hold: beyond ``capacity`` grams, all counts are lowered and the
+smallest fall out (Misra and Gries). Summaries merge by addition, and a gram's true count exceeds
+its merged one by no more than all tasks have taken off, so grams that reach the wanted share with
+that allowance are a superset of the frequent ones. The second pass counts these exactly. If the
+allowance itself comes near the wanted count, the first pass is repeated with a larger capacity.
+"""
+from collections import Counter
+from collections.abc import Collection, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (
-    PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec, Word2VecModel,
-)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab import constants as K
 from corpuslab.functions.text import normalize_text
-from corpuslab.functions.tokens import feature_words, keep_only, ngrams, words
+from corpuslab.functions.tokens import feature_words, keep_only, ngrams
 from corpuslab.storage import materialize
 
+#: Grams in a task's summary; it bounds memory, not results.
+CAPACITY = 200_000
 
-def _grams(text: str, longest: int, frequent: Sequence[str] | None) -> Column:
-    """Grams of the normalised text; of the words in ``frequent`` alone, if given."""
-    tokens = feature_words(normalize_text(F.col(text)))
-    return ngrams(tokens if frequent is None else keep_only(tokens, frequent), longest)
+#: Terms of a vocabulary that tasks hold in memory at most; a larger one needs a larger minimum share.
+MOST_TERMS = 1_000_000
 
 
-def _doc_counts(corpus: DataFrame, terms: Column) -> DataFrame:
-    return (
-        corpus.select(F.explode(F.array_distinct(terms)).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+def _tokens(text: str) -> Column:
+    """Feature words of the normalised text; none for a null text."""
+    return F.coalesce(feature_words(normalize_text(F.col(text))), F.array().cast("array<string>"))
 
 
-def _frequent_words(corpus: DataFrame, text: str, at_least: float) -> list[str]:
-    """Words in at least ``at_least`` documents.
+def _grams(text: str, longest: int, frequent: Collection[str]) -> Column:
+    """Grams of the normalised text with words in ``frequent`` alone."""
+    return ngrams(keep_only(feature_words(normalize_text(F.col(text))), sorted(frequent)), longest)
 
-    A gram occurs in no more documents than each of its words, so grams with a
-    rarer word can be skipped before they are shuffled. The list is bounded by
-    (distinct words per document) / (share of the documents).
-    """
-    counts = _doc_counts(corpus, feature_words(normalize_text(F.col(text))))
-    return [r["term"] for r in counts.where(F.col("df") >= at_least).select("term").collect()]
+
+def token_table(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
+    """Written table of ``columns`` and the tokens of the text, for several passes."""
+    return materialize(df.select(*columns, _tokens(text).alias("tokens")), "tokens")
+
+
+def _counted(lists: pa.Array, longest: int, known: Collection[str] | None = None):
+    """For 1..longest: (grams, then per document and gram: document, number of the gram, times).
+
+    Grams with a word outside ``known`` are left out, if it is given."""
+    coded = lists.flatten().dictionary_encode()
+    names, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    bounds = lists.offsets.to_numpy()
+    docs = np.repeat(np.arange(len(lists)), np.diff(bounds))
+    usable = np.ones(len(ids), bool) if known is None else np.fromiter((w in known for w in names), bool, len(names))[ids]
+    grams, number, whole = names, ids, usable
+    for n in range(1, longest + 1):
+        if n > 1:
+            # A gram is the number of the gram before its last word, and that word.
+            whole = whole[:-1] & usable[n - 1 :] & (docs[n - 1 :] == docs[: len(docs) - n + 1])
+            pairs, found = np.unique((number[:-1] * len(names) + ids[n - 1 :])[whole], return_inverse=True)
+            grams = [f"{grams[a]} {names[b]}" for a, b in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist())]
+            number = np.zeros(len(whole), np.int64)
+            number[whole] = found
+        if not grams or not len(whole):
+            return
+        cells, times = np.unique((docs[: len(whole)] * len(grams) + number)[whole], return_counts=True)
+        yield grams, cells // len(grams), cells % len(grams), times
+
+
+def _summaries(tokens: DataFrame, longest: int, capacity: int) -> DataFrame:
+    """(term, n): merged summaries of the numbers of documents; the row without a term has what was taken off."""
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, taken = Counter(), 0
+        for batch in batches:
+            for grams, _, number, _ in _counted(batch.column(0), longest):
+                for k, n in zip(*np.unique(number, return_counts=True)):
+                    counts[grams[k]] += int(n)
+                if len(counts) > 2 * capacity:
+                    lower = sorted(counts.values())[-capacity - 1]
+                    counts = Counter({g: n - lower for g, n in counts.items() if n > lower})
+                    taken += lower
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), taken], pa.int64())], ["term", "n"])
+
+    found = tokens.select("tokens").mapInArrow(summarise, "term string, n long")
+    return materialize(found.groupBy("term").agg(F.sum("n").alias("n")), "summaries")
+
+
+def _candidates(tokens: DataFrame, longest: int, at_least: float, capacity: int) -> set[str]:
+    """A superset of the grams in at least so many documents, bounded by the grams of a document over the minimum share."""
+    while True:
+        merged = _summaries(tokens, longest, capacity)
+        taken = merged.where("term is null").agg(F.sum("n")).first()[0] or 0
+        if taken <= at_least / 2:
+            kept = merged.where(F.col("term").isNotNull() & (F.col("n") + taken >= at_least))
+            return _bounded(kept, "term")
+        capacity *= 4
+
+
+def _bounded(terms: DataFrame, *columns: str):
+    """The terms for use in tasks: a set, or a dict if there are further columns."""
+    rows = terms.select(*columns).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms: raise the minimum share")
+    return {r[0]: tuple(r[1:]) for r in rows} if len(columns) > 1 else {r[0] for r in rows}
+
+
+def _words_in(terms: Collection[str]) -> set[str]:
+    return {w for term in terms for w in term.split(" ")}
 
 
 def fit_vocabulary(
@@ -47,47 +121,64 @@ def fit_vocabulary(
     longest: int = 2,
     min_share: float = K.MIN_DOC_SHARE,
     max_share: float = K.MAX_DOC_SHARE,
+    capacity: int = CAPACITY,
 ) -> DataFrame:
     """(term, df, idf) of the terms in min_share..max_share of the documents.
 
-    This is the fitted vectorizer: it is written to shared storage. Its size is
-    bounded by (distinct terms per document) / min_share.
+    ``corpus`` is a table with texts, or a ``token_table``. This is the fitted vectorizer: it is
+    written to shared storage. Its size is bounded by (distinct terms per document) / min_share.
     """
-    n = corpus.count()
+    tokens = corpus if "tokens" in corpus.columns else token_table(corpus, text=text)
+    n = tokens.count()
     low, high = min_share * n, max_share * n
-    frequent = _frequent_words(corpus, text, low) if longest > 1 else None
-    counts = _doc_counts(corpus, _grams(text, longest, frequent))
-    kept = counts.where((F.col("df") >= low) & (F.col("df") <= high))
+    spark = tokens.sparkSession
+    wanted = spark.sparkContext.broadcast(_candidates(tokens, longest, low, capacity))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts = wanted.value, Counter()
+        known = _words_in(terms)
+        for batch in batches:
+            for grams, _, number, _ in _counted(batch.column(0), longest, known):
+                for k, times in zip(*np.unique(number, return_counts=True)):
+                    if grams[k] in terms:
+                        counts[grams[k]] += int(times)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    exact = tokens.select("tokens").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    kept = exact.where((F.col("df") >= low) & (F.col("df") <= high))
     idf = F.log(F.lit(1.0 + n) / (F.col("df") + 1.0)) + 1.0
     return materialize(kept.withColumn("idf", idf), "vocabulary")
 
 
-def _words_of(vocabulary: DataFrame) -> list[str]:
-    """Words of the vocabulary terms: no other word can be part of a known term."""
-    parts = vocabulary.select(F.explode(F.split("term", " ")).alias("w")).distinct()
-    return [r["w"] for r in parts.collect()]
-
-
 def tfidf(
     docs: DataFrame, vocabulary: DataFrame, key: str = "id", text: str = "text", longest: int = 2
 ) -> DataFrame:
-    """(key, term, tf, weight) with unit length per document.
-
-    The vocabulary join comes before the first shuffle: as a written table its
-    size is known and Spark sends it to the map side, so only vocabulary terms,
-    already counted per document, are exchanged.
-    """
-    terms = docs.select(
-        key, F.explode(_grams(text, longest, _words_of(vocabulary))).alias("term")
-    )
-    counted = (
-        terms.join(vocabulary.select("term", "idf"), "term")
-        .groupBy(key, "term", "idf")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .withColumn("raw", F.col("tf") * F.col("idf"))
-    )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return counted.select(key, "term", "tf", (F.col("raw") / norm).alias("weight"))
+    """(key, term, tf, weight) with unit length per document, counted and scaled inside the row: no shuffle.
+
+    ``docs`` is a table with texts, or a ``token_table`` with the key."""
+    tokens = docs.select(key, "tokens") if "tokens" in docs.columns else docs.select(key, _tokens(text).alias("tokens"))
+    terms = _bounded(vocabulary, "term", "idf")
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        known = _words_in(idf)
+        for batch in batches:
+            parts, squares = [], np.zeros(batch.num_rows)
+            for grams, doc, number, times in _counted(batch.column(1), longest, known):
+                scale = np.array([idf.get(g, (0.0,))[0] for g in grams])[number]
+                inside = scale > 0.0
+                doc, times, raw = doc[inside], times[inside], (times * scale)[inside]
+                np.add.at(squares, doc, raw * raw)
+                parts.append((doc, pa.array(grams, pa.string()).take(pa.array(number[inside])), times, raw))
+            for doc, names, times, raw in parts:
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(doc)), names, pa.array(times.astype(np.int64)), pa.array(raw / np.sqrt(squares[doc]))],
+                    [key, "term", "tf", "weight"])
+
+    kind = tokens.schema[key].dataType.simpleString()
+    return tokens.mapInArrow(weigh, f"`{key}` {kind}, term string, tf long, weight double")
 
 
 # --- vector form for the models ---------------------------------------------
@@ -121,68 +212,9 @@ def apply_tfidf_vectors(
     model: PipelineModel, df: DataFrame, text: str = "text", longest: int = 2
 ) -> DataFrame:
     """Add the vectors. ``longest`` may be smaller than at the fit."""
-    known = sorted({w for term in model.stages[0].vocabulary for w in term.split(" ")})
+    known = _words_in(model.stages[0].vocabulary)
     return model.transform(df.withColumn("tokens", _grams(text, longest, known))).drop("tokens", "_tf", "_raw")
 
 
-def fit_doc_vectors(
-    corpus: DataFrame, text: str = "text", size: int = K.DOC_VECTOR_SIZE,
-    passes: int = K.DOC_VECTOR_PASSES, seed: int = 42, min_count: int = 5, partitions: int = 16,
-) -> Word2VecModel:
-    """Word vectors, averaged per document. A substitute for paragraph vectors.
-
-    The corpus is trained in ``partitions`` tasks, whose vectors are averaged after each
-    pass; words in fewer than ``min_count`` places get no vector.
-    """
-    tokens = corpus.select(words(normalize_text(F.col(text))).alias("tokens"))
-    return Word2Vec(
-        vectorSize=size, maxIter=passes, minCount=min_count, seed=seed, numPartitions=partitions,
-        inputCol="tokens", outputCol="features",
-    ).fit(tokens)
-
-
-def apply_doc_vectors(model: Word2VecModel, df: DataFrame, text: str = "text") -> DataFrame:
-    tokens = df.withColumn("tokens", words(normalize_text(F.col(text))))
-    return model.transform(tokens).drop("tokens")
-
-
 def save_vectors(df: DataFrame, path: str, vector: str = "features") -> None:
     df.withColumn(vector, vector_to_array(vector, "float32")).write.parquet(path)
-
-
-def nearest_words(model: Word2VecModel, keys: Sequence[str], top: int = 20) -> DataFrame:
-    """(key, rank, word, similarity) for the keys the model knows.
-
-    Cosine top-k of the key vectors against the word table.
-    """
-    vectors = model.getVectors().select("word", vector_to_array("vector").alias("v"))
-    wanted = vectors.where(F.col("word").isin(list(keys))).collect()  # at most len(keys) rows
-    parts = []
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    for row in wanted:
-        key_norm = sum(x * x for x in row["v"]) ** 0.5
-        unit = F.array(*[F.lit(x / key_norm if key_norm else 0.0) for x in row["v"]])
-        dot = F.aggregate(F.zip_with("v", unit, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        scored = vectors.where(F.col("word") != row["word"]).select(
-            F.lit(row["word"]).alias("key"), "word", F.try_divide(dot, norm).alias("similarity")
-        )
-        parts.append(scored.orderBy(F.col("similarity").desc(), "word").limit(top))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "key string, rank int, word string, similarity double")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    spot = Window.partitionBy("key").orderBy(F.col("similarity").desc(), "word")
-    return found.select("key", F.row_number().over(spot).alias("rank"), "word", "similarity")
-
-
-def word_map(model: Word2VecModel, keys: Sequence[str], top: int = 20) -> DataFrame:
-    """(key, word, x, y): the key and its neighbours on two principal axes."""
-    near = nearest_words(model, keys, top).select("key", "word")
-    own = near.select("key", F.col("key").alias("word")).distinct()
-    shown = near.unionByName(own).join(model.getVectors(), "word")
-    fitted = PCA(k=2, inputCol="vector", outputCol="xy").fit(shown)
-    xy = vector_to_array("xy")
-    return fitted.transform(shown).select(
-        "key", "word", xy.getItem(0).alias("x"), xy.getItem(1).alias("y")
-    )

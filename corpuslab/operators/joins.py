@@ -22,19 +22,22 @@ def ingest_exact(
     Repeated metadata ids give several rows. With ``first_file_only`` the files of
     an id that come (by path) after its first long enough text are dropped. Rows
     are written whether or not the text is long enough; ``downloaded`` says so.
+
+    Paths are unique. Which files stay is decided on path, id and length; texts follow
+    in one join on the path.
     """
+    facts = files.select("path", "id", downloaded_flag(F.col("text")).alias("downloaded"))
     if first_file_only:
-        enough = files.where(downloaded_flag(F.col("text")) == 1)
-        first = enough.groupBy("id").agg(F.min("path").alias("_first"))
-        files = (
-            files.join(first, "id", "left")
+        first = facts.where("downloaded = 1").groupBy("id").agg(F.min("path").alias("_first"))
+        facts = (
+            facts.join(first, "id", "left")
             .where(F.col("_first").isNull() | (F.col("path") <= F.col("_first")))
             .drop("_first")
         )
-    joined = files.join(metadata.withColumnRenamed("ID", "id"), "id")
+    chosen = facts.join(metadata.withColumnRenamed("ID", "id").select("id", *keep), "id")
     out_id = quoted(F.col("id")) if quote_ids else F.col("id")
-    return joined.select(
-        out_id.alias("id"), "text", downloaded_flag(F.col("text")).alias("downloaded"), *keep
+    return files.select("path", "text").join(chosen, "path").select(
+        out_id.alias("id"), "text", "downloaded", *keep
     )
 
 

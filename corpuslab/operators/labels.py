@@ -9,6 +9,7 @@ from corpuslab.functions.text import clean_id, normalize_text
 from corpuslab.operators.dedupe import non_empty_ids, union_all
 from corpuslab.operators.joins import flag_members
 from corpuslab.operators.sampling import exact_split, mark_first
+from corpuslab.storage import materialize
 
 POSITIVE_IDS = ("i_citation_id", "ref_id")
 
@@ -112,7 +113,9 @@ def paper_training_table(
     own_texts: DataFrame, crawled_texts: DataFrame, labels: DataFrame,
     key: Sequence[str] | None = None, seed: int = 42,
 ) -> DataFrame:
-    return exact_split(labeled_examples(own_texts, crawled_texts, labels), key, seed=seed)
+    # Written once: the steps that find the cut read the keys alone.
+    examples = materialize(labeled_examples(own_texts, crawled_texts, labels), "examples")
+    return exact_split(examples, key, seed=seed)
 
 
 def balanced_examples(
@@ -136,6 +139,7 @@ def balanced_examples(
     joined = figures.join(marks, "id", "right").select(
         "id", F.col("PY").alias("year"), "text", F.col("Binary").alias("label"), "fig_id", "Time_F"
     )
+    joined = materialize(joined, "figure-examples")
     positive = (F.col("Time_F") != "0") & (F.col("Time_F") == F.col("fig_id"))
     negative = (F.col("Time_F") == "0") & (F.col("label") == 0)
     wanted = joined.where(positive).count()

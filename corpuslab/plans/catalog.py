@@ -16,7 +16,7 @@ from corpuslab import schemas
 from corpuslab.functions import text as tx
 from corpuslab.functions import tokens as tk
 from corpuslab.functions.scores import positive_probability, predicted_class
-from corpuslab.operators import dedupe, features, joins, labels, models, neighbours, rollup, sampling
+from corpuslab.operators import dedupe, doc_vectors as paragraph_vectors, features, joins, labels, models, neighbours, rollup, sampling
 from corpuslab.operators import statistics as stats
 from corpuslab.operators.figure_windows import figure_windows
 from corpuslab.plans import corpus as corpora
@@ -258,6 +258,25 @@ def ingest_exact(spark, sf):
     return joins.ingest_exact(files, _pdf_metadata(spark, sf), keep=["Binary"], quote_ids=True)
 
 
+@query
+def ingest_own(spark, sf):
+    """Own papers: metadata rows that occur twice are left out, every file stays."""
+    path = F.concat(F.lit("corpus/own/"), col_str("doc_id"), F.lit(".pdf"))
+    marks = table(spark, sf, "labels")
+    metadata = marks.unionByName(marks.where("toxic = 1")).select(col_str("doc_id").alias("ID"), F.col("quality").alias("Binary"))
+    return corpora.ingest_own(table(spark, sf, "documents").select(path.alias("path"), "text"), metadata)
+
+
+@query
+def ingest_crawled(spark, sf):
+    """Crawled papers: cleaned ids, two files for each, of which the first long one is the last."""
+    sign = F.when(F.col("doc_id") % 2 == 0, "-").otherwise(":")
+    path = F.concat(F.lit("crawl/Paper"), sign, div("doc_id", 2).cast("string"), F.lit(".pdf"))
+    marks = table(spark, sf, "labels")
+    metadata = marks.unionByName(marks).select(F.concat(F.lit("Paper/"), col_str("doc_id"), F.lit(" pdf")).alias("ID"), F.lit("t").alias("TI"))
+    return corpora.ingest_crawled(table(spark, sf, "documents").select(path.alias("path"), "text"), metadata)
+
+
 @query
 def orphans(spark, sf):
     files = _pdf_files(spark, sf).drop("text")
@@ -321,7 +340,7 @@ def stream_ingest(spark, sf):
         page_stream.ingest_page_stream(
             spark, f"{root}/pages", f"{root}/table", f"{root}/checkpoint", multiline=False
         )
-    return spark.read.parquet(f"{root}/table").drop("batch")
+    return page_stream.read_ingested(spark, f"{root}/table")
 
 
 # --- labels -----------------------------------------------------------------------------
@@ -491,7 +510,7 @@ def _rounded(weights: DataFrame) -> DataFrame:
 
 @query
 def tfidf(spark, sf):
-    examples = _labeled(spark, sf)
+    examples = features.token_table(_labeled(spark, sf), "doc_id")
     return _rounded(features.tfidf(examples, features.fit_vocabulary(examples), key="doc_id"))
 
 
@@ -711,7 +730,7 @@ QUERIES.update(
     {
         "model_lr": _model_query("lr"),
         "model_l1": _model_query("l1", alpha=1e-3),
-        "model_tree": _model_query("dt", impurity_decrease=1e-3, max_depth=10),
+        "model_tree": _model_query("dt", impurity_decrease=1e-3),
         "model_forest": _model_query("rf", impurity_decrease=1e-4, n_trees=20, max_depth=10),
         "model_knn": _model_query("knn", n_neighbors=3),
         "model_svm": _model_query("svm", C=1.0, kernel="linear"),
@@ -736,7 +755,7 @@ def grid_search(spark, sf):
 def model_report(spark, sf):
     """Metrics rows of one trained model on the test part."""
     train, test, _ = _examples(spark, sf)
-    fitted = models.fit("dt", train, impurity_decrease=1e-3, max_depth=10)
+    fitted = models.fit("dt", train, impurity_decrease=1e-3)
     return training.evaluate(fitted, test, "report")
 
 
@@ -753,28 +772,29 @@ def score_sample(spark, sf):
 
 @lru_cache(maxsize=4)
 def _word_model(spark: SparkSession, sf: str, session: str):
-    return features.fit_doc_vectors(table(spark, sf, "documents"), size=32, passes=1)
+    return paragraph_vectors.fit_doc_vectors(table(spark, sf, "documents"))
 
 
 def _common_words(spark, sf) -> list[str]:
-    leaders = stats.term_frequency(table(spark, sf, "documents"), top=4, stop=STOP_WORDS)
+    leaders = stats.term_frequency(table(spark, sf, "documents"), top=len(K.NEIGHBOUR_WORDS), stop=STOP_WORDS)
     return [r["term"] for r in leaders.collect()]
 
 
 @query
 def doc_vectors(spark, sf):
+    """Vectors inferred for all documents, from a model trained on them at full settings."""
     model = _word_model(spark, sf, spark.sparkContext.applicationId)
-    out = features.apply_doc_vectors(model, texts(spark, sf).select("doc_id", "text"))
+    out = paragraph_vectors.apply_doc_vectors(model, texts(spark, sf).select("doc_id", "text"))
     return out.select("doc_id", vector_to_array("features", "float32").alias("vector"))
 
 
 @query
 def nearest_words(spark, sf):
     model = _word_model(spark, sf, spark.sparkContext.applicationId)
-    return features.nearest_words(model, _common_words(spark, sf), 20)
+    return paragraph_vectors.nearest_words(model, [*K.NEIGHBOUR_WORDS, *_common_words(spark, sf)], 20)
 
 
 @query
 def word_map(spark, sf):
     model = _word_model(spark, sf, spark.sparkContext.applicationId)
-    return features.word_map(model, _common_words(spark, sf), 20)
+    return paragraph_vectors.word_map(model, [*K.CLUSTER_WORDS, *_common_words(spark, sf)], 20)

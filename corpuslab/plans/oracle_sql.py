@@ -50,6 +50,7 @@ _S, _W, _D = f"[{_SPACE}]", f"[{_WORD}]", r"\p{Nd}"
 _FIG = "[Ff][Ii][Gg]"
 _SPACED = "[Ff] [Ii] [Gg] [Uu] [Rr] [Ee]"
 _GAP = rf"(?:{_S}|\\n)*"
+# A figure mention, as in constants.py, spelled for this engine.
 _MENTION = (
     rf"(?:{_FIG}(?:|\.|[Uu][Rr][Ee]|[Ss]\.)|{_SPACED}){_GAP}"
     rf"(?:(?:{_S}|\\n){_W}|{_W}?{_D}+[-\\.]*{_D}*{_W}?)(?:\(|\)|,|\\'|\\.|{_S}|\\n)"
@@ -262,6 +263,14 @@ ORACLES: dict[str, str] = {
         select '"' || files.id || '"' as id, text, (length(text) > 100)::int as downloaded, "Binary"
         from files join meta on files.id = meta.id left join f on files.id = f.id
         where f.p is null or path <= f.p""",
+    "ingest_own": """select '"' || doc_id || '"' as id, text, (length(text) > 100)::int as downloaded,
+          quality as "Binary" from documents join labels using (doc_id) where toxic is distinct from 1""",
+    "ingest_crawled": """with files as (select 'crawl/Paper' || case when doc_id % 2 = 0 then '-' else ':' end
+            || (doc_id // 2) || '.pdf' as path, 'paper ' || (doc_id // 2) || ' pdf' as id, text from documents),
+        f as (select id, min(path) as p from files where length(text) > 100 group by id)
+        select files.id, text, (length(text) > 100)::int as downloaded
+        from files join (select distinct 'paper ' || doc_id || ' pdf' as id from labels) meta on files.id = meta.id
+          left join f on files.id = f.id where f.p is null or path <= f.p""",
     "orphans": f"""with {_PDF_FILES}, {_PDF_META}
         select path, id from files where id not in (select id from meta)""",
     "ingest_versioned": f"""with m as (select doc_id // 3 as k, doc_id % 3 + 1 as v, 'first' as title from labels
@@ -358,6 +367,27 @@ ORACLES: dict[str, str] = {
           from r group by vec_id)
         select c.vec_id, c.label as pred_y, prob_y from c join s on c.vec_id = s.vec_id
         qualify row_number() over (partition by c.vec_id order by n desc, c.label) = 1""",
+    "model_knn": f"""with {_LABELED},
+        e as (select doc_id, text, quality, {_HASH_RANK.format(seed=42, key='doc_id')} <=
+          floor(0.2::double * count(*) over ()) as is_test from labeled),
+        train as (select * from e where not is_test),
+        {_vocabulary_cte('train')},
+        dt as (select doc_id, {_words(_normal('text'), 2)} as t from e),
+        dg as (select doc_id, unnest({_gram_list(2)}) as term from dt),
+        c as (select doc_id, dg.term, idf, count(*) as tf from dg join vocab on dg.term = vocab.term
+          group by doc_id, dg.term, idf),
+        w as (select doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by doc_id)) as weight from c),
+        s as (select doc_id, sum(weight * weight) as square from w group by doc_id),
+        x as (select e.*, coalesce(square, 0.0) as square from e left join s using (doc_id)),
+        p as (select q.doc_id as q_id, b.doc_id as b_id, sum(q.weight * b.weight) as product
+          from w q join w b on q.term = b.term where q.doc_id in (select doc_id from x where is_test)
+            and b.doc_id in (select doc_id from train) group by all),
+        r as (select q.doc_id as id, q.quality as label, b.quality as vote from x q join x b on q.is_test and not b.is_test
+          left join p on p.q_id = q.doc_id and p.b_id = b.doc_id
+          qualify row_number() over (partition by q.doc_id order by
+            sqrt(round(greatest(q.square + b.square - 2 * coalesce(product, 0.0), 0.0), 9)), b.doc_id) <= 3)
+        select id, label, case when 2 * sum(vote) > count(*) then 1 else 0 end as pred_y,
+          round(sum(vote) / count(*)::double, 6) as prob_y from r group by id, label""",
     "similar_topk": """with v as (select vec_id, embedding::double[] as e from embeddings),
         r as (select a.vec_id as query_id, b.vec_id as neighbour_id, list_cosine_similarity(a.e, b.e) as s
           from v a join v b on a.vec_id <> b.vec_id)

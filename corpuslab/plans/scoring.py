@@ -10,6 +10,7 @@ from corpuslab import constants as K
 from corpuslab.functions.scores import positive_probability, predicted_class
 from corpuslab.operators.rollup import doc_rollup, figure_rollup, positive_docs, positive_share
 from corpuslab.operators.sampling import sample_share
+from corpuslab.storage import materialize
 
 
 def score_sample(
@@ -24,7 +25,7 @@ def score_sample(
 
     Exactly the sampled rows are scored.
     """
-    sample = sample_share(corpus.dropDuplicates(), key, share, seed)
+    sample = sample_share(materialize(corpus.dropDuplicates(), "distinct-corpus"), key, share, seed)
     return fitted.predict(featurize(sample)).drop("features")
 
 

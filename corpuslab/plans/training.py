@@ -1,20 +1,26 @@
 """Grid search, model matrix and scoring of test tables."""
+import hashlib
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import product
 from multiprocessing.pool import ThreadPool
+from threading import Lock
+from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab import constants as K
+from corpuslab.operators import doc_vectors as vectors
 from corpuslab.operators import features as feats
-from corpuslab.operators.models import Fitted, fit
+from corpuslab.operators.models import Fitted, cut_tree, fit
 from corpuslab.operators.rollup import doc_rollup, eval_metrics, figure_rollup
 from corpuslab.operators.sampling import holdout
+from corpuslab.operators.trees import Nodes, fit_full_tree
 from corpuslab.schemas import METRICS
-from corpuslab.storage import checkpoint
+from corpuslab.storage import checkpoint, exists, write_once
 
 # Longest n-gram of the TF-IDF features that are fit on a corpus.
 CORPUS_GRAMS = 2
@@ -49,6 +55,28 @@ class Search:
     tried: list[tuple[dict, float]]
 
 
+class Ledger:
+    """What has been finished, as one small file per candidate or cell below ``path``.
+
+    A run that was lost starts again with the same ledger and does only what is missing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _file(self, key: list) -> str:
+        return f"{self.path}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()}"
+
+    def get(self, key: list) -> Any:
+        """The value of a finished key, else None."""
+        path = self._file(key)
+        if not exists(self.spark, path):
+            return None
+        return json.loads(self.spark.read.text(path).first()["value"])["value"]
+
+    def put(self, key: list, value: Any) -> None:
+        write_once(self.spark, self._file(key), json.dumps({"key": key, "value": value}))
+
+
 def f1_of(predicted: DataFrame) -> float:
     row = eval_metrics(predicted).where("metric = 'f1'").first()
     return row["value"] if row and row["value"] is not None else 0.0
@@ -61,29 +89,52 @@ def grid_search(
     holdout_rows: int = K.HOLDOUT_ROWS,
     seed: int = 0,
     parallelism: int = 4,
+    ledger: Ledger | None = None,
+    name: str = "",
 ) -> Search:
     """Best candidate by F1 of class 1 on one fixed hold-out, several at a time.
 
-    The first of equals wins; the first candidate is the fallback if no F1 is
-    above zero.
+    The first of equals wins; the first candidate is the fallback if no F1 is above zero. With a
+    ``ledger``, candidates that it has under ``name`` (features and table) are not fitted again,
+    but for the best one, if this run has not fitted it. All trees of a grid share one fit.
     """
     split = holdout(examples, ["id"], holdout_rows, seed)
     table = training_table(split.select("id", "features", "label", "split"))
     train = table.where("split = 'train'").drop("split")
     cv = table.where("split = 'cv'").drop("split")
-
-    def try_one(params: dict) -> tuple[Fitted, float]:
-        candidate = fit(family, train, seed, **params)
-        return candidate, f1_of(candidate.predict(cv))
+    full: dict[int, Nodes] = {}
+
+    def fit_one(params: dict) -> Fitted:
+        if family != "dt":
+            return fit(family, train, seed, **params)
+        depth = params.get("max_depth", 30)
+        with growing:
+            if depth not in full:
+                full[depth] = fit_full_tree(train, seed, depth)
+        return cut_tree(full[depth], params)
+
+    growing = Lock()
+
+    def try_one(params: dict) -> tuple[Fitted | None, float]:
+        key = [name, family, params, holdout_rows, seed]
+        known = ledger.get(key) if ledger else None
+        if known is not None:
+            return None, known
+        candidate = fit_one(params)
+        f1 = f1_of(candidate.predict(cv))
+        if ledger:
+            ledger.put(key, f1)
+        return candidate, f1
 
     candidates = list(GRIDS[family] if grid is None else grid)
     with ThreadPool(parallelism) as pool:
         results = pool.map(inheritable_thread_target(examples.sparkSession)(try_one), candidates, chunksize=1)
-    best, best_f1 = results[0][0], 0.0
-    for candidate, f1 in results:
+    best, best_f1 = 0, 0.0
+    for k, (_, f1) in enumerate(results):
         if f1 > best_f1:
-            best, best_f1 = candidate, f1
-    return Search(best, best_f1, [(p, f1) for p, (_, f1) in zip(candidates, results)])
+            best, best_f1 = k, f1
+    fitted = results[best][0] or fit_one(candidates[best])
+    return Search(fitted, best_f1, [(p, f1) for p, (_, f1) in zip(candidates, results)])
 
 
 def metrics_log(df: DataFrame, run: str, model: str, scope: str) -> DataFrame:
@@ -142,8 +193,8 @@ def tfidf_features(own: DataFrame, other: DataFrame | None, longest: int) -> Cal
 
 
 def doc_vector_features(own: DataFrame, other: DataFrame | None, **options) -> Callable[[DataFrame], DataFrame]:
-    model = feats.fit_doc_vectors(own if other is None else other, **options)
-    return lambda df: feats.apply_doc_vectors(model, df)
+    model = vectors.fit_doc_vectors(own if other is None else other, **options)
+    return lambda df: vectors.apply_doc_vectors(model, df)
 
 
 @dataclass
@@ -164,23 +215,34 @@ def model_matrix(
     run: str = "matrix",
     holdout_rows: int = K.HOLDOUT_ROWS,
     vector_options: dict | None = None,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Metrics of the best model of each family for four feature kinds per table:
-    TF-IDF and document vectors, each fit on the training texts or the corpus."""
+    TF-IDF and document vectors, each fit on the training texts or the corpus.
+
+    With a ``ledger``, a cell's family that it has is not trained again."""
     options = vector_options or {}
-    out = None
+    wanted = families or {f: GRIDS[f] for f in GRIDS if f != "lr"}
+    rows: list[list] = []
     for from_corpus, kind, table in product((False, True), ("tfidf", "docvec"), tables):
-        other = table.corpus if from_corpus else None
-        # Corpus TF-IDF always uses the default gram length.
-        longest = CORPUS_GRAMS if from_corpus else table.longest
-        if kind == "tfidf":
-            apply = tfidf_features(table.train, other, longest)
-        else:
-            apply = doc_vector_features(table.train, other, **options)
-        train, test = training_table(apply(table.train)), training_table(apply(table.test))
         name = f"{run}/{table.name}/{'corpus_' if from_corpus else ''}{kind}"
-        for family, grid in (families or {f: GRIDS[f] for f in GRIDS if f != "lr"}).items():
-            search = grid_search(family, train, grid, holdout_rows)
-            rows = evaluate(search.best, test, name, with_docs=table.figures)
-            out = rows if out is None else out.unionByName(rows)
-    return out
+        keys = {family: ["cell", name, family, grid, holdout_rows, options if kind == "docvec" else {}] for family, grid in wanted.items()}
+        known = {family: ledger.get(key) if ledger else None for family, key in keys.items()}
+        if any(found is None for found in known.values()):
+            other = table.corpus if from_corpus else None
+            # Corpus TF-IDF always uses the default gram length.
+            longest = CORPUS_GRAMS if from_corpus else table.longest
+            if kind == "tfidf":
+                apply = tfidf_features(table.train, other, longest)
+            else:
+                apply = doc_vector_features(table.train, other, **options)
+            train, test = training_table(apply(table.train)), training_table(apply(table.test))
+        for family, grid in wanted.items():
+            if known[family] is None:
+                search = grid_search(family, train, grid, holdout_rows, ledger=ledger, name=name)
+                found = evaluate(search.best, test, name, with_docs=table.figures).select(METRICS.fieldNames()).collect()
+                known[family] = [list(r) for r in found]  # a few dozen numbers
+                if ledger:
+                    ledger.put(keys[family], known[family])
+            rows += known[family]
+    return tables[0].train.sparkSession.createDataFrame([tuple(r) for r in rows], METRICS)

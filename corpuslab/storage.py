@@ -43,3 +43,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table that nothing reads any more."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def write_once(spark: SparkSession, path: str, line: str) -> None:
+    """A small file that is there whole or not at all: written beside its place, then renamed."""
+    files, target = _file_system(spark, path)
+    _, beside = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(beside, True)
+    out.write(bytearray(line.encode()))
+    out.close()
+    if not files.rename(beside, target):
+        files.delete(beside, False)
+        raise RuntimeError(f"{path} is there already")

@@ -3,12 +3,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from corpuslab.operators import features as feats
-from corpuslab.operators import neighbours
+from corpuslab.operators import neighbours, sparse_neighbours
 
 TEXTS = [
     "The tree of life, a tree", "the tree grows", "Life of the mind", "mind the tree tree gap",
@@ -55,10 +56,42 @@ def test_vocabulary_and_tfidf(corpus, longest):
         assert all(math.isclose(weights[i][t], v) for t, v in brute.items())
 
 
-def test_pruning_is_exact(corpus, monkeypatch):
-    pruned = feats.fit_vocabulary(corpus, longest=3, min_share=0.2).collect()
-    monkeypatch.setattr(feats, "_frequent_words", lambda *a: None)
-    assert sorted(feats.fit_vocabulary(corpus, longest=3, min_share=0.2).collect()) == sorted(pruned)
+@pytest.mark.parametrize("capacity", [1, 3, 10])
+def test_small_summaries_are_exact(corpus, capacity):
+    """Grams that fall out of a task's summary are never frequent ones."""
+    whole = sorted(feats.fit_vocabulary(corpus, longest=3, min_share=0.2).collect())
+    assert sorted(feats.fit_vocabulary(corpus, longest=3, min_share=0.2, capacity=capacity).collect()) == whole
+
+
+def test_summaries_bound_the_counts(spark, corpus):
+    tokens = feats.token_table(corpus.repartition(3))
+    merged = {r["term"]: r["n"] for r in feats._summaries(tokens, 2, 4).collect()}
+    taken = merged.pop(None)
+    assert taken > 0
+    true = Counter(t for x in TEXTS for t in set(grams(x, 2)))
+    assert all(merged.get(t, 0) <= n <= merged.get(t, 0) + taken for t, n in true.items())
+
+
+def test_random_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(0, 60)) if k < 40) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    fitted = feats.fit_vocabulary(docs, longest=3, capacity=30)
+    want = brute_vocabulary([t or "" for t in texts], 3, 0.05, 0.9)
+    assert {r["term"]: r["df"] for r in fitted.collect()} == {t: c for t, (c, _) in want.items()}
+    got = {}
+    for r in feats.tfidf(docs, fitted, longest=3).collect():
+        got.setdefault(r["id"], {})[r["term"]] = (r["tf"], r["weight"])
+    for i, text in enumerate(texts):
+        brute = brute_tfidf(text or "", want, 3) if any(g in want for g in grams(text or "", 3)) else {}
+        assert got.get(i, {}).keys() == brute.keys()
+        assert all(math.isclose(got[i][t][1], v) for t, v in brute.items())
+
+
+def test_too_large_a_vocabulary_is_refused(corpus, monkeypatch):
+    monkeypatch.setattr(feats, "MOST_TERMS", 3)
+    with pytest.raises(ValueError, match="minimum share"):
+        feats.fit_vocabulary(corpus, min_share=0.1)
 
 
 def test_vectors_equal_relational_form(corpus):
@@ -72,29 +105,10 @@ def test_vectors_equal_relational_form(corpus):
     assert all(math.isclose(dense[k], weights[k]) for k in weights)
 
 
-def test_vocabulary_is_sent_to_the_map_side(corpus):
+def test_no_shuffle_after_the_vocabulary(corpus):
     fitted = feats.fit_vocabulary(corpus, min_share=0.2)
     plan = feats.tfidf(corpus, fitted)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert "PythonUDF" not in plan and "ArrowEval" not in plan
-
-
-def test_doc_vectors(spark, corpus, tmp_path):
-    model = feats.fit_doc_vectors(corpus, size=8, passes=1, min_count=1)
-    vectors = feats.apply_doc_vectors(model, corpus)
-    assert len(vectors.first()["features"]) == 8
-    feats.save_vectors(vectors.select("id", "features"), str(tmp_path / "v"))
-    back = spark.read.parquet(str(tmp_path / "v"))
-    assert back.count() == len(TEXTS) and back.schema["features"].dataType.simpleString() == "array<float>"
-    near = feats.nearest_words(model, ["tree", "unknown"], 3)
-    rows = near.orderBy("rank").collect()
-    table = {r["word"]: np.array(r["vector"].toArray()) for r in model.getVectors().collect()}
-    key = table.pop("tree")
-    cosine = {w: float(v @ key / np.linalg.norm(v) / np.linalg.norm(key)) for w, v in table.items()}
-    best = sorted(cosine, key=lambda w: -cosine[w])[:3]
-    assert [r["word"] for r in rows] == best and {r["key"] for r in rows} == {"tree"}
-    placed = feats.word_map(model, ["tree"], 3)
-    assert placed.columns == ["key", "word", "x", "y"] and placed.count() == 4
+    assert "Exchange" not in plan
 
 
 # --- nearest neighbours -----------------------------------------------------------
@@ -126,23 +140,125 @@ def brute_nearest(rows, k, metric):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 5])
-@pytest.mark.parametrize("limits", [(1 << 20, 1 << 20), (0, 600)])
-def test_nearest(points, k, limits):
+@pytest.mark.parametrize("k", [1, 5, 200])
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("group_rows", [4096, 7])
+def test_nearest(points, k, metric, group_rows, monkeypatch):
     rows, df = points
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 30)
+    got = {}
+    for r in neighbours.nearest(df, df, k, metric, group_rows=group_rows).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (round(r["distance"], 9), r["neighbour_id"])
+    want = brute_nearest(rows, k, metric)
+    assert got.keys() == want.keys()
+    for i, n in got.items():
+        mine = [n[j] for j in sorted(n)]
+        # Cosine distances that are equal up to rounding may be in either order.
+        assert mine == want[i] if metric == "l2" else [d for d, _ in mine] == pytest.approx([d for d, _ in want[i]])
+
+
+def clustered(n, seed=1, d=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, d)) * 40
+    return centres[rng.integers(12, size=n)] + rng.standard_normal((n, d))
+
+
+def test_search_compares_few_pairs():
+    """Cells beyond the bound are closed: far fewer than all pairs, and the result is exact."""
+    base, k = clustered(1500), 5
+    points = clustered(300, 2)
+    cells = neighbours.Cells(base[:40], "l2")
+    own, far = cells.place(base)
+    low, high = np.full(40, np.inf), np.full(40, -np.inf)
+    np.minimum.at(low, own, far[np.arange(len(own)), own])
+    np.maximum.at(high, own, far[np.arange(len(own)), own])
+    cells.know(low, high)
+    ids, labels = np.arange(1500), np.zeros(1500, np.int64)
+    best, compared = neighbours.search_group(cells, np.arange(300) + 9000, points, np.full(300, np.inf), ids, base, labels, own, k, False)
+    exact = np.sqrt(((points[:, None] - base) ** 2).sum(axis=2))
+    assert (best.id == np.argsort(exact, axis=1, kind="stable")[:, :k]).all()
+    assert compared < 0.35 * 300 * 1500
+
+
+def test_lower_bounds_hold():
+    base, points = clustered(400), clustered(100, 3)
+    cells = neighbours.Cells(base[:30], "l2")
+    own, far = cells.place(base)
+    low, high = np.full(30, np.inf), np.full(30, -np.inf)
+    np.minimum.at(low, own, far[np.arange(len(own)), own])
+    np.maximum.at(high, own, far[np.arange(len(own)), own])
+    cells.know(low, high)
+    exact = np.sqrt(((points[:, None] - base) ** 2).sum(axis=2))
+    assert (cells.lower(points)[:, own] <= exact).all()
+
+
+def test_a_cell_of_copies_is_dealt_over_groups(spark, points):
+    """A third of all rows are copies of one vector: no group gets them all, the result is exact."""
+    rows = points[0] + [(1000 + i, [2.0, 2.0, 2.0], 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label int")
     got = {}
-    for r in neighbours.nearest(df, df, k, "l2", broadcast_bytes=limits[0], block_bytes=limits[1]).collect():
+    for r in neighbours.nearest(df, df, 3, group_rows=8).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (round(r["distance"], 9), r["neighbour_id"])
-    assert {i: [n[j] for j in sorted(n)] for i, n in got.items()} == brute_nearest(rows, k, "l2")
+    assert {i: [n[j] for j in sorted(n)] for i, n in got.items()} == brute_nearest(rows, 3, "l2")
+    groups = neighbours.Groups.pack(np.array([3, 50, 4, 0, 5]), np.arange(5), 8)
+    assert groups.parts.tolist() == [1, 7, 1, 1, 1]
+    dealt = np.bincount(groups.of(np.full(500, 1), np.arange(500)))
+    assert (dealt > 0).sum() == 7 and dealt.max() < 120
 
 
-def test_nearest_paths_agree_on_cosine(points):
+def test_nearest_of_nothing(spark, points):
     _, df = points
-    df = df.where(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) > 0)
-    keys = ("query_id", "rank", "neighbour_id")
-    one = neighbours.nearest(df, df, 4, "cosine").select(*keys).collect()
-    two = neighbours.nearest(df, df, 4, "cosine", broadcast_bytes=0, block_bytes=600).select(*keys).collect()
-    assert sorted(one) == sorted(two)
+    assert neighbours.nearest(df, df.limit(0), 3).collect() == []
+    assert neighbours.nearest(df.limit(0), df, 3).collect() == []
+
+
+# --- sparse rows -----------------------------------------------------------------------
+
+
+def sparse_rows(n, seed, terms=60):
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        t = np.unique(rng.zipf(1.4, rng.integers(0, 14)) % terms)
+        w = rng.integers(1, 5, len(t)).astype(float)
+        w = w / np.linalg.norm(w) if len(w) else w
+        out.append((i, [int(x) for x in t], [float(x) for x in w], int(i % 2)))
+    return out + [(n + j, out[3][1], out[3][2], 1) for j in range(n // 2)]
+
+
+def spread(rows, terms=60):
+    m = np.zeros((len(rows), terms))
+    for k, (_, t, w, _) in enumerate(rows):
+        m[k, t] = w
+    return m
+
+
+@pytest.mark.parametrize("k,group_rows", [(1, 4096), (4, 25), (500, 25)])
+def test_nearest_sparse(spark, k, group_rows):
+    schema = "id long, terms array<int>, weights array<double>, label int"
+    base, asked = sparse_rows(150, 1), sparse_rows(60, 2)
+    found = sparse_neighbours.nearest_sparse(spark.createDataFrame(asked, schema), spark.createDataFrame(base, schema), k, group_rows=group_rows)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["neighbour_id"], r["label"])
+    exact = np.sqrt(np.round(((spread(asked)[:, None] - spread(base)) ** 2).sum(axis=2), 9))
+    assert len(got) == len(asked)
+    for i, n in got.items():
+        want = np.argsort(exact[i], kind="stable")[:k]
+        assert [n[j] for j in sorted(n)] == [(base[b][0], base[b][3]) for b in want]
+
+
+def test_inverted_lists_read_few_entries():
+    """Copies are found within a close limit by the heaviest terms' lists and a few rows of their own."""
+    base = [r for r in sparse_rows(2000, 3, 4000) if r[1]]
+    asked = [r for r in base[:60] if len(r[1]) > 4]
+    flat = lambda rows: sparse_neighbours._flat(*(pa.array([r[c] for r in rows], pa.list_(t)) for c, t in ((1, pa.int32()), (2, pa.float64()))))
+    ids, labels = np.arange(len(base)), np.zeros(len(base), np.int64)
+    found = {}
+    for limit in (0.3, np.inf):
+        best, read = sparse_neighbours.search_group(flat(asked), np.arange(len(asked)), np.full(len(asked), limit), flat(base), ids, labels, 1, False)
+        found[limit] = (best.id, read)
+    assert (found[0.3][0] == found[np.inf][0]).all() and found[0.3][1] < found[np.inf][1]
 
 
 def test_vote(spark):
