@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from corpuslab.sources.split_csv import read_split_csv
+
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
@@ -14,11 +16,13 @@ def read_csv(
 ) -> DataFrame:
     """CSV with an explicit schema; paths and globs may name many files.
 
-    ``source`` adds the file name as a column. Texts hold newlines, hence
-    ``multiline``; such files are read whole by one task each, so convert a large
-    corpus to Parquet once (``csv_to_parquet``).
+    ``source`` adds the file name as a column. Texts hold newlines, hence ``multiline``:
+    records are put together across lines and splits, so many tasks read one file.
+    Without it, every line is a record.
     """
-    df = spark.read.schema(schema).options(**_QUOTING).csv(path, header=header, multiLine=multiline)
+    if multiline:
+        return read_split_csv(spark, path, schema, header, _QUOTING, source)
+    df = spark.read.schema(schema).options(**_QUOTING).csv(path, header=header)
     return df.withColumn(source, F.col("_metadata.file_name")) if source else df
 
 

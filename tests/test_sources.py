@@ -1,14 +1,18 @@
 import io
 import json
+import random
 import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab import schemas
 from corpuslab.sources import documents as docs
-from corpuslab.sources import tables
-from corpuslab.streaming.pages import _append_new, ingest_page_stream
+from corpuslab.sources import split_csv, tables
+from corpuslab.storage import exists
+from corpuslab.streaming import pages as page_stream
+from corpuslab.streaming.pages import append_batch, compact, ingest_page_stream, read_ingested
 
 TEXT = 'line one\nsaid "two", three'
 
@@ -25,6 +29,51 @@ def test_csv_corpus(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "c"), schemas.CORPUS).count() == 1
 
 
+def wild_csv(rows):
+    """CSV text of (id, text, downloaded): quotes, line breaks of both kinds, commas, empty lines between records."""
+    quote = lambda t: '"' + t.replace('"', '""') + '"'
+    return "".join(f"{i},{'' if t is None else quote(t)},{d}\n" + "\n" * (int(d) % 3 == 1) for i, t, d in rows)
+
+
+@pytest.mark.parametrize("split_bytes,header", [(1 << 30, False), (3000, True)])
+def test_csv_of_one_file_is_read_by_many_tasks(spark, tmp_path, split_bytes, header):
+    rng = random.Random(3)
+    pieces = ["word ", '"', "\n", "\r\n", ",", '""', "é", "\n\n", '",\n"', " "]
+    rows = [(str(i), "".join(rng.choices(pieces, k=rng.randint(0, 60))) + "x", i % 5) for i in range(150)]
+    rows += [("long", "many lines\n" * 500, 1), ("none", None, 2), ("plain", "plain", 0)]
+    for name in ("a", "b"):
+        text = ("id,text,downloaded\n" if header else "") + wild_csv(rows)
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    single = spark.read.schema(schemas.CORPUS).options(quote='"', escape='"').csv(str(tmp_path), header=header, multiLine=True)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", min(split_bytes, 4 << 20))
+        records = split_csv.read_records(spark, str(tmp_path))
+        assert records.count() >= 2 * len(rows)
+        got = tables.read_csv(spark, str(tmp_path / "*.csv"), schemas.CORPUS, header=header, source="source").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["id"], r["text"] or "", r["downloaded"]) for r in got) == sorted((i, t or "", d) for i, t, d in [*rows, *rows])
+    assert sorted(map(str, ((r["id"], r["text"], r["downloaded"]) for r in got))) == sorted(map(str, map(tuple, single.collect())))
+    assert {r["source"] for r in got} == {"a.csv", "b.csv"}
+
+
+def test_csv_splits_inside_a_record(spark, tmp_path):
+    """A record over many splits, an unclosed last record, and an empty file."""
+    body = 'a,"' + "line\n" * 3000 + '",1\nb,"open\nend'
+    (tmp_path / "a.csv").write_text(body)
+    (tmp_path / "b.csv").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+        values = [r["value"] for r in split_csv.read_records(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(values) == ['a,"' + "line\n" * 3000 + '",1', 'b,"open\nend']
+
+
 def test_csv_headers_strings_and_splits(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_text("i_citation_id,ref_id,c_title,c_first_author_lname,i_year\n007,,t,,2020\n")
@@ -123,7 +172,7 @@ def test_stream_equals_batch(spark, page_files, tmp_path, memory):
     ingest_page_stream(spark, folder, table, state, memory)
     ingest_page_stream(spark, folder, table, state, memory)
     batch = docs.ingest_pages(docs.read_pages(spark, folder))
-    stream = spark.read.parquet(table).drop("batch").select(*batch.columns)
+    stream = (spark.read.parquet(table) if memory else read_ingested(spark, table)).select(*batch.columns)
     assert sorted(stream.collect()) == sorted(batch.collect())
 
 
@@ -133,23 +182,76 @@ def test_late_pages_are_not_lost(spark, page_files, tmp_path):
     ingest_page_stream(spark, folder, table, state)
     page_files("2.json", publication("old", date="2020-01-01"))
     ingest_page_stream(spark, folder, table, state)
-    assert sorted(r["ID"] for r in spark.read.parquet(table).collect()) == ["new", "old"]
+    page_files("3.json", publication("undated", date="no date"), publication("empty", date=None))
+    ingest_page_stream(spark, folder, table, state)
+    assert sorted(r["ID"] for r in read_ingested(spark, table).collect()) == ["empty", "new", "old", "undated"]
+
+
+def listed(spark, *dois):
+    schema = "page string, pos int, " + ", ".join(f"{n} string" for n in schemas.PUBLICATION.fieldNames())
+    return spark.createDataFrame([(f"p{i}", i, *publication(d, str(i)).values()) for i, d in enumerate(dois)], schema)
+
+
+def ingested(spark, table):
+    return sorted((r["ID"], r["Version"]) for r in read_ingested(spark, table).collect())
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     table = str(tmp_path / "table")
-    schema = "page string, pos int, " + ", ".join(f"{n} string" for n in schemas.PUBLICATION.fieldNames())
+    append_batch(listed(spark, "a", "b", "a"), table, "one", 0)
+    append_batch(listed(spark, "b", "c"), table, "one", 1)
+    want = [("a", 0), ("b", 1), ("c", 1)]
+    assert ingested(spark, table) == want
+    append_batch(listed(spark, "b", "c", "not seen before"), table, "one", 1)
+    assert ingested(spark, table) == want
 
-    def batch(*dois):
-        rows = [(f"p{i}", i, *publication(d, str(i)).values()) for i, d in enumerate(dois)]
-        return spark.createDataFrame(rows, schema)
 
-    write = _append_new(table)
-    write(batch("a", "b", "a"), 0)
-    write(batch("b", "c"), 1)
-    write(batch("b", "c"), 1)
-    rows = spark.read.parquet(table).orderBy("ID").collect()
-    assert [(r["ID"], r["Version"], r["batch"]) for r in rows] == [("a", 0, 0), ("b", 1, 0), ("c", 1, 1)]
+def test_failed_batch_is_invisible_and_repeated(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "table")
+    append_batch(listed(spark, "a"), table, "one", 0)
+    with monkeypatch.context() as m:
+        def lost(*_):
+            raise RuntimeError("driver lost")
+        m.setattr(page_stream, "write_once", lost)
+        with pytest.raises(RuntimeError):
+            append_batch(listed(spark, "b", "c"), table, "one", 1)
+    assert exists(spark, f"{table}/data/commit=one-1") and ingested(spark, table) == [("a", 0)]
+    append_batch(listed(spark, "b", "c"), table, "one", 1)
+    assert ingested(spark, table) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_lost_checkpoint_duplicates_nothing(spark, page_files, tmp_path):
+    table = str(tmp_path / "table")
+    folder = page_files("1.json", publication("a", "1"), publication("b"))
+    ingest_page_stream(spark, folder, table, str(tmp_path / "state"))
+    page_files("2.json", publication("a", "2"), publication("c"))
+    ingest_page_stream(spark, folder, table, str(tmp_path / "another state"))
+    assert ingested(spark, table) == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_batch_reads_the_buckets_it_touches(spark, tmp_path):
+    table = str(tmp_path / "table")
+    append_batch(listed(spark, *[f"d{i}" for i in range(200)]), table, "one", 0)
+    some = page_stream._in_buckets(spark, table, ["one-0"], [7, 9])
+    scan = some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in scan and "commit" in scan
+    folders = {r[0].split("bucket=")[1].split("/")[0] for r in some.select(F.input_file_name()).collect()}
+    assert folders <= {"7", "9"}
+
+
+def test_compaction(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for i in range(5):
+        append_batch(listed(spark, f"a{i}", f"b{i}", "again"), table, "one", i)
+    want = ingested(spark, table)
+    compact(spark, table)
+    assert ingested(spark, table) == want and len(want) == 11
+    assert [p.name.startswith("commit=compact-") for p in (tmp_path / "table" / "data").iterdir() if p.is_dir()] == [True]
+    append_batch(listed(spark, "never"), table, "one", 3)
+    append_batch(listed(spark, "a2", "new"), table, "one", 5)
+    compact(spark, table)
+    compact(spark, table)
+    assert ingested(spark, table) == sorted([*want, ("new", 1)])
 
 
 def test_stream_of_a_hot_doi(spark, page_files, tmp_path):
@@ -158,5 +260,6 @@ def test_stream_of_a_hot_doi(spark, page_files, tmp_path):
     for name, memory in (("all", None), ("recent", "7 days")):
         table = str(tmp_path / name)
         ingest_page_stream(spark, folder, table, str(tmp_path / f"state-{name}"), memory, files_per_trigger=7)
-        ids = [r["ID"] for r in spark.read.parquet(table).collect()]
+        rows = spark.read.parquet(table) if memory else read_ingested(spark, table)
+        ids = [r["ID"] for r in rows.collect()]
         assert sorted(ids) == sorted(["hot"] + [f"d{i}" for i in range(30)])
