@@ -12,13 +12,19 @@ metric works:
    shares most regions with; nodes within the threshold fall into the pivot's cell. A
    cell is linked through its pivot, so its members are never compared with each other.
 3. Regions whose nodes all got one label are done. The others join recursively: large
-   ones take the next pivot and compare it with the nodes of other labels; small ones
-   compare the rest across labels. Sizes (0.8 <= ratio), the triangle inequality over a
-   pivot that both were measured against, and sketches, coordinates in which the sets'
-   distance can only shrink, cut pairs that cannot be near before sets are compared.
+   ones take further pivots, twice as many in each round, and compare them with the nodes
+   of other labels until what is left is small; small ones compare the rest across labels.
+   Only what a region's place in the global order allows is compared: the pair's first
+   common shingle stands there, so no more than the shingles behind it can be shared.
+   Sizes (0.8 <= ratio), the triangle inequality over a pivot that both were measured
+   against, and sketches, coordinates in which the sets' distance can only shrink, cut
+   further pairs that cannot be near before sets are compared.
 4. The join ends when no region with several labels is left, so no link between
    different sets can be missed.
 
+The sets of nodes that have company in a region are written once. New links only change
+the labels that they connect.
+
 The global order puts shingles that are frequent within tasks last, by frequency, so
 that shared passages name no region unless a document has little else; this affects
 the work and never the result. Shingles and sets are known by 64-bit hashes.
@@ -54,8 +60,8 @@ SKETCHES, MOST_CLASSES = ((1500, 128), (6000, 512)), 2048
 GROUP_BYTES = 1 << 18
 #: Nodes of a region that share a task before it is dealt out further.
 SALTED = 1000
-#: Regions up to this size are compared directly; larger ones take pivots for so many rounds first.
-LEAF, ROUNDS = 48, 6
+#: Regions up to this size are compared directly; larger ones take pivots first, so many in the first round.
+LEAF, PIVOTS = 48, 8
 
 
 def shingles(texts: list[str | None], reader: WordReader, size: int) -> list[np.ndarray]:
@@ -142,10 +148,10 @@ def first_pass(docs: DataFrame, size: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, size: int, frequent: np.ndarray, times: np.ndarray, near: tuple[int, int]) -> DataFrame:
-    """(shingle, salt, salted, node, n) of the first shingles of each class; a class once per task."""
+    """(shingle, salt, salted, node, n, at) of the first shingles of each class, with their places; a class once per task."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, times))
     top, bottom = near
-    columns = ["shingle", "salt", "salted", "node", "n"]
+    columns = ["shingle", "salt", "salted", "node", "n", "at"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = shared.value
@@ -175,9 +181,10 @@ def postings(docs: DataFrame, size: int, frequent: np.ndarray, times: np.ndarray
                     rank, node = np.concatenate(ranks), np.repeat(np.array(nodes, np.int64), lengths)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.concatenate(parts).view(np.int64)), pa.array((node % (rank // SALTED + 1)).astype(np.int32)), pa.array(rank > SALTED),
-                        pa.array(node), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], columns)
+                        pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))], columns)
 
-    return docs.select("text").mapInArrow(read, "shingle long, salt int, salted boolean, node long, n long")
+    return docs.select("text").mapInArrow(read, "shingle long, salt int, salted boolean, node long, n int, at int")
 
 
 def read_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
@@ -221,8 +228,16 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         sets = (np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]) for x, y in zip(a, b))
         return pd.Series([int((np.diff(np.sort(s)) == 0).sum()) for s in sets], dtype="int64")
 
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("_b"))
+    # Sets that no pair asks for stay out of the shuffle.
+    wanted = pairs.sparkSession.sparkContext.broadcast(bit_table(pairs.select(F.xxhash64("a").alias("hash")).union(pairs.select(F.xxhash64("b")))))
+
+    @F.pandas_udf("boolean")
+    def asked(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_table(wanted.value, hashes.to_numpy()))
+
+    some = sets.where(asked(F.xxhash64("node")))
+    left = some.select(F.col("node").alias("a"), F.col("members").alias("_a"))
+    right = some.select(F.col("node").alias("b"), F.col("members").alias("_b"))
     return pairs.join(left, "a").join(right, "b").withColumn("shared", intersection("_a", "_b")).drop("_a", "_b")
 
 
@@ -251,8 +266,25 @@ def is_near(shared, n, m, near: tuple[int, int]):
     return shared * near[1] >= (n + m - shared) * near[0]
 
 
+def can_meet(n, at, m, other, near: tuple[int, int]):
+    """Can two sets whose first common shingle stands at these places be near? They share no more than what follows."""
+    top, bottom = near
+    return F.least(n - at, m - other) * (top + bottom) >= (n + m) * top
+
+
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only those that the links connect are merged."""
+    ends = links
+    for c in "ab":
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("label").alias("_" + c)), c, "left").withColumn("_" + c, F.coalesce("_" + c, c))
+    merged = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    changed = merged.select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    old = labels.join(changed, "label", "left").select("node", F.coalesce("_new", "label").alias("label"))
+    return materialize(old.union(merged.join(labels, "node", "left_anti").select("node", "label")), "jaccard-labels")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, near: tuple[int, int] = NEAR,
-         leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
+         leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
     """Per document: key, n_shingles, and component_id, the least key that links reach."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -265,63 +297,71 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     # Members of regions of two nodes or more, each with its region's pivot. A salted region
     # has a pivot in each part, and these have one of their own.
     part, whole = Window.partitionBy("shingle", "salt"), Window.partitionBy("shingle")
-    rows = postings(docs, size, frequent, times, near).withColumn("pivot", F.min(F.struct("node", "n")).over(part))
+    one = F.struct("node", "n", "at")
+    rows = postings(docs, size, frequent, times, near).withColumn("pivot", F.min(one).over(part))
     other = F.col("pivot.node") != F.col("node")
-    rows = materialize(rows.where(other | F.col("salted")).select("shingle", "node", "n", "pivot"), "jaccard-regions")
-    heads = rows.where(~other).withColumn("pivot", F.min(F.struct("node", "n")).over(whole)).where(other)
-    members = rows.where(other).union(heads).select("shingle", "node", "n", F.col("pivot.node").alias("p"), F.col("pivot.n").alias("pn"))
-
-    def measured_pairs(pairs: DataFrame, label: str) -> DataFrame:
-        """Pairs that sketches allow, with the size of their intersection."""
-        pairs = materialize(pairs, "jaccard-candidates")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-        keys = classes.join(nodes, "node", "left_semi").select(F.xxhash64("key").alias("hash"))
-        return materialize(measure(pairs, read_sets(docs, size, bit_table(keys))), label)
-
+    rows = materialize(rows.where(other | F.col("salted")).select("shingle", "node", "n", "at", "pivot"), "jaccard-regions")
+    heads = rows.where(~other).withColumn("pivot", F.min(one).over(whole)).where(other)
+    members = rows.where(other).union(heads)
     # Each node against the pivot that it shares most regions with, of those it may be near.
-    met = members.where(may_be_near(F.col("n"), F.col("pn"), near)).groupBy("node", "n", "p", "pn").agg(F.count("*").alias("times"))
-    met = met.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("b"), F.col("pn").alias("bn"), "times")
+    n, at, pn, pat = (F.col(c) for c in ("n", "at", "pivot.n", "pivot.at"))
+    met = members.where(may_be_near(n, pn, near) & can_meet(n, at, pn, pat, near)).groupBy(
+        F.col("node").alias("a"), n.alias("an"), F.col("pivot.node").alias("b"), pn.alias("bn")).agg(F.count("*").alias("times"))
     best = near_in_sketch(met, classes, near).groupBy("a", "an").agg(F.max_by(F.struct("b", "bn"), F.struct("times", "b")).alias("best"))
-    measured = measured_pairs(best.select("a", "an", F.col("best.b").alias("b"), F.col("best.bn").alias("bn")), "jaccard-cells")
-    found = measured.where(is_near(F.col("shared"), F.col("an"), F.col("bn"), near)).select("a", "b")
-    labels = components(found)
+    pairs = materialize(best.select("a", "an", F.col("best.b").alias("b"), F.col("best.bn").alias("bn")), "jaccard-candidates")
+
+    # In a pair that can be near, the smaller set has the shingle among its first ninth or so (at the
+    # threshold 4 / 5): a region without such a member joins nothing.
+    first = (n - at) * (near[0] + near[1]) >= 2 * n * near[0]
+    every = members.select("shingle", "node", "n", "at").union(members.select("shingle", "pivot.node", "pivot.n", "pivot.at").distinct())
+    useful = every.groupBy("shingle").agg(F.max(first).alias("any"), F.count("*").alias("size")).where("any and size > 1").select("shingle")
+    open_ = materialize(every.join(useful, "shingle", "left_semi").distinct(), "jaccard-open")
+    nodes = open_.select("node").union(pairs.select("a")).union(pairs.select("b"))
+    keys = classes.join(nodes, "node", "left_semi").select(F.xxhash64("key").alias("hash"))
+    sets = materialize(read_sets(docs, size, bit_table(keys)), "jaccard-sets")
+
+    measured = materialize(measure(pairs, sets), "jaccard-cells")
+    labels = components(measured.where(is_near(F.col("shared"), F.col("an"), F.col("bn"), near)).select("a", "b"))
     place = measured.select(F.col("a").alias("node"), F.col("b").alias("_p"), (1 - F.col("shared") / (F.col("an") + F.col("bn") - F.col("shared"))).alias("_d"))
+    open_, tried = open_.join(place, "node", "left"), measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # Regions in which labels differ join recursively.
-    tagged = members.join(labels, "node", "left").withColumnRenamed("label", "l1").join(
-        labels.select(F.col("node").alias("p"), F.col("label").alias("l2")), "p", "left")
-    mixed = tagged.where(F.coalesce("l1", "node") != F.coalesce("l2", "p")).select("shingle").distinct()
-    open_ = members.select("shingle", "node", "n").union(members.select("shingle", "p", "pn").distinct()).join(mixed, "shingle", "left_semi").distinct()
-    open_, tried = materialize(open_.join(place, "node", "left"), "jaccard-open"), measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for k in range(rounds + 1):
+    turn = 0
+    while True:
         tagged = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = tagged.groupBy("shingle").agg(F.count("*").alias("_size"), F.min("label").alias("_l1"), F.max("label").alias("_l2"))
-        tagged = materialize(tagged.join(sizes.where("_l1 != _l2"), "shingle").drop("_l1", "_l2"), "jaccard-open")
-        if tagged.isEmpty():
+        facts = tagged.groupBy("shingle").agg(F.count("*").alias("_size"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.max(first).alias("_any"))
+        tagged = materialize(tagged.join(facts.where("_low != _high and _any").drop("_low", "_high", "_any"), "shingle"), "jaccard-open")
+        large = tagged.groupBy().agg(F.max("_size")).first()[0]
+        if large is None:
             break
-        last = k == rounds
-        direct, divided = tagged.where(F.lit(last) | (F.col("_size") <= leaf)), tagged.where(~F.lit(last) & (F.col("_size") > leaf))
-        one = ["node", "n", "label", "_p", "_d"]
-        head = divided.groupBy("shingle").agg(F.min_by(F.struct(*one), F.xxhash64("node", F.lit(k))).alias("y"))
-        side = direct.select("shingle", F.struct(*one).alias("y"))
-        apart = (F.col("label") != F.col("y.label")) & may_be_near(F.col("n"), F.col("y.n"), near)
+        direct, divided = tagged.where(F.col("_size") <= leaf), tagged.where(F.col("_size") > leaf)
+        held = ["node", "n", "at", "label", "_p", "_d"]
+        order = Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        chosen = divided.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= pivots << turn)
+        y = F.struct(*held).alias("y")
+        apart = (F.col("label") != F.col("y.label")) & may_be_near(n, F.col("y.n"), near) & can_meet(n, at, F.col("y.n"), F.col("y.at"), near)
         # |d(x, p) - d(y, p)| is at most d(x, y); a little is allowed for rounding.
         reach = 1 - near[0] / near[1] + 1e-9
         apart &= ~F.coalesce((F.col("_p") == F.col("y._p")) & (F.abs(F.col("_d") - F.col("y._d")) > reach), F.lit(False))
-        met = direct.join(side, "shingle").where(apart & (F.col("node") < F.col("y.node"))).union(divided.join(head, "shingle").where(apart))
+        met = direct.join(direct.select("shingle", y), "shingle").where(apart & (F.col("node") < F.col("y.node")))
+        if large > leaf:
+            chosen = materialize(chosen.select("shingle", y), "jaccard-pivots")
+            met = met.union(divided.join(chosen, "shingle").where(apart))
+        smaller = F.col("node") < F.col("y.node")
         pairs = met.select(
-            F.least("node", "y.node").alias("a"), F.when(F.col("node") < F.col("y.node"), F.col("n")).otherwise(F.col("y.n")).alias("an"),
-            F.greatest("node", "y.node").alias("b"), F.when(F.col("node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("n")).alias("bn"),
+            F.least("node", "y.node").alias("a"), F.when(smaller, n).otherwise(F.col("y.n")).alias("an"),
+            F.greatest("node", "y.node").alias("b"), F.when(smaller, F.col("y.n")).otherwise(n).alias("bn"),
         ).distinct().join(tried, ["a", "b"], "left_anti")
-        measured = measured_pairs(near_in_sketch(pairs, classes, near), "jaccard-pairs")
+        pairs = materialize(near_in_sketch(pairs, classes, near), "jaccard-candidates")
+        measured = materialize(measure(pairs, sets), "jaccard-pairs")
         new = measured.where(is_near(F.col("shared"), F.col("an"), F.col("bn"), near)).select("a", "b")
         if not new.isEmpty():
-            found = found.union(new)
-            labels = components(found)
-        if last or divided.isEmpty():
+            labels = relabel(labels, new)
+        if large <= leaf:
             break
         tried = tried.union(measured.select("a", "b"))
-        open_ = divided.join(head.select("shingle", F.col("y.node").alias("_h")), "shingle").where("node != _h").select("shingle", "node", "n", "_p", "_d")
+        open_ = divided.join(chosen.select("shingle", F.col("y.node").alias("node")), ["shingle", "node"], "left_anti").select("shingle", "node", "n", "at", "_p", "_d")
+        turn += 1
 
     return assign(documents, labels).withColumnsRenamed({"key": key, "n": "n_shingles"})
 

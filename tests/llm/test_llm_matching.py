@@ -31,7 +31,7 @@ def drifting(n, step):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 2, "rounds": 1}])
+@pytest.mark.parametrize("options", [{}, {"leaf": 2, "pivots": 1}])
 def test_jaccard_components_are_exact(spark, options, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SALTED", 3)
     texts = dict(enumerate(drifting(60, 1) + drifting(40, 2) + ["a b c", "A B C", "a b c d", "", " ", None]))
@@ -46,6 +46,20 @@ def test_jaccard_components_are_exact(spark, options, monkeypatch):
     assert got == {k: (len(shingle_set(t)), want[k]) for k, t in texts.items()}
 
 
+def test_template_pages_make_few_pairs(spark, monkeypatch):
+    """Pages on one template that are not near enough: candidates grow with the pages, not with their pairs."""
+    counts = {}
+    original = jaccard_join.measure
+    for n in (60, 240):
+        pages = [(k, " ".join(f"own{k}x{j}" for j in range(18)) + " " + " ".join(f"t{j}" for j in range(100))) for k in range(n)]
+        measured = []
+        monkeypatch.setattr(jaccard_join, "measure", lambda pairs, sets: measured.append(pairs.count()) or original(pairs, sets))
+        got = jaccard_join.join(spark.createDataFrame(pages, "doc_id long, text string").repartition(4)).collect()
+        assert all(r.component_id == r.doc_id for r in got) and len(got) == n
+        counts[n] = sum(measured)
+    assert counts[240] <= 5 * max(counts[60], 60)
+
+
 def test_jaccard_cases(spark):
     docs = frame(spark)
     got = jaccard_join.join(docs).collect()
