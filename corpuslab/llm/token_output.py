@@ -18,15 +18,15 @@ number; repeated keys share a number and are ordered by their records; an empty
 table gives no shard and no row.
 """
 import math
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.byte_pairs import BytePairs
+from corpuslab.llm.byte_merges import byte_ids
 from corpuslab.llm.token_counts import tokenizer_parts
 from corpuslab.llm.words import mix, text_batches
 from corpuslab.storage import scratch_path
@@ -84,15 +84,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, key: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = "H" if id_type == "<u2" else "I"
-        pairs = BytePairs(*shared.value, summary=lambda ids: array(code, ids).tobytes())
+        reader = byte_ids(shared.value)
         step = length * kind["ids"].base.itemsize
         for batch in batches:
             for start in range(0, len(batch), 512):
                 keys, numbers, places, bodies = [], [], [], []
                 part = batch.iloc[start : start + 512]
-                for k, no, t in zip(part["key"], part["number"], part["text"]):
-                    ids = b"".join(pairs.summaries(t))
+                texts = pa.array(part["text"], pa.string(), from_pandas=True)
+                for k, no, found in zip(part["key"], part["number"], reader.texts(texts)):
+                    ids = found.astype(id_type).tobytes()
                     here = range(0, len(ids), step)
                     keys += [k] * len(here)
                     numbers += [(no - low) * most + place for place in range(len(here))]

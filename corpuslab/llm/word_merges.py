@@ -62,7 +62,7 @@ class Merges:
     """Ranks and results of the merges, by pairs of symbol numbers."""
 
     def __init__(self, spec: dict, byte_characters: dict[int, str]):
-        vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.size = np.uint64(max(vocabulary.values()) + 1)
         self.within = np.array([vocabulary.get(byte_characters.get(b), -1) for b in range(256)], np.int32)
