@@ -196,7 +196,9 @@ class Packing:
         """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
         columns = [F.col("key").alias(key), "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         whole = self.layout.where(F.col("ids_crc32").isNotNull())
-        cut = self._with_ids(self.layout.where(F.col("ids_crc32").isNull())).withColumn("ids_crc32", F.crc32("ids"))
+        # Written, so that their number is known: the ids of few cut pieces need no shuffle of all pieces.
+        pieces = materialize(self.layout.where(F.col("ids_crc32").isNull()), "cut-pieces")
+        cut = self._with_ids(pieces).withColumn("ids_crc32", F.crc32("ids"))
         return whole.select(columns).unionByName(cut.select(columns))
 
     def sequences(self, pad_id: int = 0) -> DataFrame:
