@@ -264,3 +264,24 @@ def test_vote(spark):
     df = spark.createDataFrame(rows, "query_id long, label int")
     got = {r["query_id"]: (r["pred_y"], r["prob_y"]) for r in neighbours.vote(df).collect()}
     assert got == {1: (1, 2 / 3), 2: (0, 0.5)}
+
+
+def test_grams_are_numbered_a_bounded_number_of_tokens_at_a_time(spark, corpus, monkeypatch):
+    whole = sorted(feats.fit_vocabulary(corpus, longest=2, min_share=0.2).collect())
+    weights = feats.tfidf(corpus, feats.fit_vocabulary(corpus, longest=2, min_share=0.2)).orderBy("id", "term").collect()
+    monkeypatch.setattr(feats, "SLICE_TOKENS", 3)
+    assert sorted(feats.fit_vocabulary(corpus, longest=2, min_share=0.2).collect()) == whole
+    again = feats.tfidf(corpus, feats.fit_vocabulary(corpus, longest=2, min_share=0.2)).orderBy("id", "term").collect()
+    assert [r[:3] for r in again] == [r[:3] for r in weights] and np.allclose([r[3] for r in again], [r[3] for r in weights])
+    lists = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (1, 2, 5, 0, 2, 0)])], ["tokens"])
+    parts = [[len(x) for x in p.column(0).to_pylist()] for p in feats._slices(lists.slice(1))]
+    assert parts == [[2], [5], [0, 2, 0]]
+
+
+def test_summaries_hold_grams_of_frequent_words_alone(spark, monkeypatch):
+    seen, summaries = [], feats._summaries
+    monkeypatch.setattr(feats, "_summaries", lambda *a: seen.append(summaries(*a)) or seen[-1])
+    docs = spark.createDataFrame([(f"common words and rare{i} words{i}",) for i in range(40)], "text string")
+    terms = {r["term"] for r in feats.fit_vocabulary(docs, max_share=1.0).collect()}
+    assert terms == {"common", "words", "and", "common words", "words and"}
+    assert {r["term"] for r in seen[0].collect()} == terms | {None}
