@@ -143,3 +143,15 @@ def test_window_and_ids_by_hand(spark):
     rows = figure_windows(spark.createDataFrame([(1, text)], "id int, text string"), lines=2, width=400).collect()
     first = "\nbefore\nsee Fig. 1 and FIGURE S2) here\nafter\n"
     assert {(r["text"], r["fig_id"]) for r in rows} == {(first, "1"), (first, "S2"), ("Figs. 3-4,", "3-4")}
+
+
+def test_ngrams_query_cuts_words_once(spark, tmp_path):
+    from corpuslab.plans.catalog import QUERIES
+
+    rows = [(1, "One two, three four"), (2, None), (3, "a b"), (4, "same same same")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["ngrams"](spark, str(tmp_path))
+    got = {r.doc_id: (r.n, r.grams) for r in df.collect()}
+    assert got[1] == (9, "one|two|three|four|one two|two three|three four|one two three|two three four")
+    assert got[3] == (0, "") and got[4][0] == 6
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
