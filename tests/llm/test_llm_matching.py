@@ -60,6 +60,15 @@ def test_template_pages_make_few_pairs(spark, monkeypatch):
     assert counts[240] <= 5 * max(counts[60], 60)
 
 
+def test_measuring_has_one_python_step(spark):
+    """A task of the joins over sets has one Python worker; only sets that a pair asks for are joined."""
+    sets = spark.createDataFrame([(k, np.arange(k, k + 4, dtype=np.uint64).tobytes()) for k in range(6)], "node long, members binary")
+    pairs = spark.createDataFrame([(0, 4, 1, 4), (2, 4, 5, 4)], "a long, an long, b long, bn long")
+    measured = jaccard_join.measure(pairs, sets)
+    assert measured._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.a, r.b, r.shared) for r in measured.collect()) == [(0, 1, 3), (2, 5, 1)]
+
+
 def test_jaccard_cases(spark):
     docs = frame(spark)
     got = jaccard_join.join(docs).collect()
