@@ -50,10 +50,10 @@ ENDS_WORD = np.zeros(256, bool)
 ENDS_WORD[[9, 10, 11, 12, 13, 32]] = True
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a task holds few texts at a time, however long they are."""
+def text_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Small Arrow batches of at most about `size` bytes, so that a task holds few texts at a time, however long they are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 class WordReader:

@@ -69,6 +69,19 @@ def test_measuring_has_one_python_step(spark):
     assert sorted((r.a, r.b, r.shared) for r in measured.collect()) == [(0, 1, 3), (2, 5, 1)]
 
 
+def test_the_join_holds_few_rows_at_a_time(spark):
+    """Scans, Arrow batches and counted shingles are bounded, so an executor's buffers do not grow with the texts."""
+    sets = [np.arange(k, 200_000, dtype=np.uint64) for k in range(3)]
+    parts = list(jaccard_join.counted(sets, 1000))
+    assert max(len(shingle) for shingle, _ in parts) == 1000
+    assert np.concatenate([shingle for shingle, _ in parts]).tolist() == list(range(1, 200_000))
+    assert np.concatenate([times for _, times in parts]).tolist() == [2] + [3] * 199_998
+    docs = spark.createDataFrame([(k, f"a b c d e f g {k % 2}") for k in range(4)], "doc_id long, text string")
+    assert {(r[0], r[2]) for r in jaccard_join.join(docs).collect()} == {(0, 0), (1, 1), (2, 0), (3, 1)}
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
+
+
 def test_jaccard_cases(spark):
     docs = frame(spark)
     got = jaccard_join.join(docs).collect()
