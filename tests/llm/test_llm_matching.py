@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from corpuslab.llm import components as graph
 from corpuslab.llm import decontamination, jaccard_join, licenses, secrets, token_output, toxicity
+from corpuslab.storage import materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -97,6 +98,28 @@ def test_jaccard_cases(spark):
     assert jaccard_join.join(empty(spark)).count() == 0 and jaccard_join.keep_one(empty(spark)).count() == 0
 
 
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    """Every round shuffles its links several times; links that are stars around least nodes need none."""
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    links = spark.createDataFrame([(1, k) for k in range(2, 30)] + [(2, 1), (40, 31)], "a long, b long")
+    got = {r.node: r.label for r in graph.components(links).collect()}
+    assert got == {k: 1 for k in range(1, 30)} | {31: 31, 40: 31}
+    assert len(written) == 1
+
+
+def test_regions_of_one_common_label_take_no_further_pivots(spark, monkeypatch):
+    """A region in which few nodes are outside its commonest label is done in one round, however large it is."""
+    written = []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    common = [f"w{k}" for k in range(100)]
+    texts = {k: " ".join(common + [f"v{k}"]) for k in range(30)} | {100 + k: " ".join(common + [f"x{k}y{j}" for j in range(22)]) for k in range(4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, leaf=8, pivots=1).collect()}
+    assert got == components(texts)
+    assert written.count("jaccard-open") <= 3 and "jaccard-pivots" not in written
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 150)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
