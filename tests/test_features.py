@@ -8,6 +8,8 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from corpuslab.functions import tokens as tk
+from corpuslab.functions.text import normalize_text
 from corpuslab.operators import features as feats
 from corpuslab.operators import neighbours, sparse_neighbours
 
@@ -105,6 +107,21 @@ def test_vectors_equal_relational_form(corpus):
     assert all(math.isclose(dense[k], weights[k]) for k in weights)
 
 
+def test_texts_are_cut_into_words_once_for_vectors(corpus, monkeypatch):
+    """Not once for each word of a gram, and without a difference to the grams as one expression, in slices of any size."""
+    model = feats.fit_tfidf_vectors(corpus, longest=3, min_share=0.2, max_share=0.7)
+    texts = corpus.unionByName(corpus.sparkSession.createDataFrame([(100, None), (101, ""), (102, "the the the tree of the tree of")], corpus.schema)).coalesce(2)
+    for longest in (1, 2, 3):
+        known = sorted(feats._words_in(model.stages[0].vocabulary))
+        cut = tk.feature_words(normalize_text(F.col("text")))
+        want = sorted(model.transform(texts.withColumn("tokens", tk.ngrams(tk.keep_only(cut, known), longest))).select("id", "features").collect())
+        for tokens in (250_000, 3):
+            monkeypatch.setattr(feats, "SLICE_TOKENS", tokens)
+            found = feats.apply_tfidf_vectors(model, texts, longest=longest)
+            assert sorted(found.select("id", "features").collect()) == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_no_shuffle_after_the_vocabulary(corpus):
     fitted = feats.fit_vocabulary(corpus, min_share=0.2)
     plan = feats.tfidf(corpus, fitted)._jdf.queryExecution().executedPlan().toString()
