@@ -122,6 +122,14 @@ def test_texts_are_cut_into_words_once_for_vectors(corpus, monkeypatch):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
 
 
+def test_vectors_of_a_token_table(corpus):
+    """Tokens that are written serve the fit and the vectors; the texts are not cut again."""
+    model = feats.fit_tfidf_vectors(corpus, min_share=0.2, max_share=0.7)
+    found = feats.apply_tfidf_vectors(model, feats.token_table(corpus, "id"))
+    assert found.columns == ["id", "features"]
+    assert sorted(found.collect()) == sorted(feats.apply_tfidf_vectors(model, corpus).select("id", "features").collect())
+
+
 def test_no_shuffle_after_the_vocabulary(corpus):
     fitted = feats.fit_vocabulary(corpus, min_share=0.2)
     plan = feats.tfidf(corpus, fitted)._jdf.queryExecution().executedPlan().toString()
